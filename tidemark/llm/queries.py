@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html, jaccard, matroska, mixing, quality, repeats, secrets, template
+from tidemark.llm import bpe, hmm, html, jaccard, matroska, mixing, quality, repeats, secrets, template
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_passages": lambda s, d: repeats.repeated_passages(_read(s, d, "documents")),
+    "op2_hmm_scores": lambda s, d: hmm.score_documents(_read(s, d, "documents")),
     "op3_matroska": lambda s, d: matroska.packets(matroska.mux_documents(_read(s, d, "documents"))),
     "op4_html_extract": lambda s, d: html.extract_pages(_read(s, d, "pages")),
     "op5_secret_scan": lambda s, d: secrets.find(_read(s, d, "documents")),
