@@ -28,7 +28,7 @@ class Packet(NamedTuple):
     lace: int  # place in the block's lace; 0 without lacing
     byte_offset: int
     n_bytes: int
-    cued: bool  # a cue points at this track and time
+    cued: bool  # a cue points at this track and time; of a lace, its first frame
 
 
 def vint(b: bytes, at: int, end: int) -> tuple[int, int, bool]:
@@ -201,7 +201,7 @@ def parse(b: bytes) -> tuple[list[Packet], str | None]:
     for track, ticks, duration, key, n, lace, offset, size in blocks:
         codec, default = tracks.get(track, (None, None))
         frame = duration * scale if duration is not None else default
-        out.append(Packet(track, codec, ticks * scale + lace * (default or 0), frame, key, n, lace, offset, size, (track, ticks) in cues))
+        out.append(Packet(track, codec, ticks * scale + lace * (default or 0), frame, key, n, lace, offset, size, not lace and (track, ticks) in cues))
     return out, error
 
 
