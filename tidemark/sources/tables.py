@@ -92,7 +92,7 @@ def price_facts(spark: SparkSession, d: str) -> DataFrame:
     cat = facts_of(p, log_seq=F.col("p_partkey"), event_id=F.concat(F.lit("cat:"), _s("p_partkey")), subject=F.concat(F.lit("part:"), _s("p_partkey")), facet=F.lit("catalog"), effective=F.lit(DAY), value=value(F.col("p_retailprice")), provenance=F.lit("SCAN_VERIFIED"))
     eff = micros("l_shipdate")
     seq = _packed(eff)
-    led = facts_of(l, log_seq=seq, event_id=F.concat(F.lit("line:"), F.concat_ws("/", _s("l_orderkey"), _s("l_partkey"), _s("l_suppkey"), _s("l_linenumber"))), subject=F.concat(F.lit("part:"), _s("l_partkey")), facet=F.lit("ledger"), effective=eff, value=value(F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)), confidence=F.lit(0.9), provenance=F.lit("HUMAN_ENTRY"))
+    led = facts_of(l, log_seq=seq, event_id=F.concat(F.lit("line:"), F.concat_ws("/", _s("l_orderkey"), _s("l_partkey"), _s("l_suppkey"), _s("l_linenumber"))), subject=F.concat(F.lit("part:"), _s("l_partkey")), facet=F.lit("ledger"), effective=eff, value=value(F.col("l_extendedprice") / F.col("l_quantity")), confidence=F.lit(0.9), provenance=F.lit("HUMAN_ENTRY"))
     return cat.unionByName(led)
 
 
