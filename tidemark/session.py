@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -36,3 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from there, so that lost executors cost no replay."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that have been cut and that nothing refers to any more. Spark removes them when the
+    driver collects garbage, by itself at last every half hour; after a large shuffle it is asked for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
