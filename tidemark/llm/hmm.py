@@ -19,15 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as X
-from tidemark.session import cut
+from tidemark.session import cut, release
 
 STATES, ROUNDS = 6, 3
-MOST_SYMBOLS = 1 << 20  # bounds the model that is sent to the tasks (24 MB); beyond it words share symbols
+MOST_SYMBOLS = 1 << 20  # bounds the model that is sent to the tasks (48 MB); beyond it words share symbols
 LEAST_SYMBOLS = 1 << 8
 SEGMENT = 256
 BATCH_WORDS = 1 << 19
 SMOOTH = 0.1  # added to each expected count
 BLOCK = 1 << 12  # symbols a block of counts
+_COUNTS = "block int, symbols binary, cells binary"
 
 
 class Model(NamedTuple):
@@ -242,15 +243,20 @@ def _batches(batches: Iterator[pa.RecordBatch], col: int, symbols: int) -> Itera
             at = to
 
 
-def _sum_blocks(parts_df: DataFrame, parts: int) -> DataFrame:
-    """Counts of one block from all tasks, summed: (block, cells). Tasks send float64 cells of equal length for a block."""
+def _sum_blocks(parts_df: DataFrame, parts: int, width: int) -> DataFrame:
+    """Counts of one block from all tasks, summed in double precision: (block, symbols, cells)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(x.as_buffer(), np.float64)
-                total[b] = total[b] + x if b in total else x
+            for b, s, x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if b < 0:
+                    x = np.frombuffer(x.as_buffer(), np.float64)
+                    total[b] = total[b] + x if b in total else x
+                else:
+                    if b not in total:
+                        total[b] = np.zeros((BLOCK, width))
+                    total[b][np.frombuffer(s.as_buffer(), np.uint16)] += np.frombuffer(x.as_buffer(), np.float32).reshape(-1, width)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "cells"])
 
@@ -258,23 +264,25 @@ def _sum_blocks(parts_df: DataFrame, parts: int) -> DataFrame:
 
 
 def _cells(emit: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
-    """A task's counts as blocks of symbols; block -1 has the rest. Blocks without counts aren't sent."""
-    rows = [(-1, head.astype(np.float64).tobytes())]
+    """A task's counts by block of symbols, those of symbols that it has, in single precision; block -1 has the rest."""
+    rows = [(-1, b"", head.astype(np.float64).tobytes())]
     for b in range(0, len(emit), BLOCK):
-        if emit[b : b + BLOCK].any():
-            rows.append((b // BLOCK, emit[b : b + BLOCK].astype(np.float64).tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "cells"])
+        own = emit[b : b + BLOCK]
+        at = np.flatnonzero(own.any(1))
+        if len(at):
+            rows.append((b // BLOCK, at.astype(np.uint16).tobytes(), own[at].astype(np.float32).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["block", "symbols", "cells"])
 
 
 def _collected(summed: DataFrame, symbols: int, width: int, head: int) -> tuple[np.ndarray, np.ndarray]:
-    emit, top = np.zeros((symbols, width)), np.zeros(head)
+    emit, top = np.zeros((max(symbols, BLOCK), width)), np.zeros(head)
     for r in summed.toLocalIterator():
         x = np.frombuffer(r["cells"], np.float64)
         if r["block"] < 0:
             top = x.copy()
         else:
-            emit[r["block"] * BLOCK : r["block"] * BLOCK + len(x) // width] = x.reshape(-1, width)
-    return emit, top
+            emit[r["block"] * BLOCK :][:BLOCK] = x.reshape(-1, width)
+    return emit[:symbols], top
 
 
 def train(words: DataFrame, states: int = STATES, rounds: int = ROUNDS, parts: int | None = None) -> tuple[Model, list[float]]:
@@ -291,7 +299,7 @@ def train(words: DataFrame, states: int = STATES, rounds: int = ROUNDS, parts: i
             total += np.bincount(w, minlength=symbols)
         yield _cells(total[:, None], np.zeros(1))
 
-    counted = _sum_blocks(words.select("hashes").mapInArrow(tally, "block int, cells binary"), parts)
+    counted = _sum_blocks(words.select("hashes").mapInArrow(tally, _COUNTS), parts, 1)
     model = first_model(_collected(counted, symbols, 1, 1)[0][:, 0], states)
     history = []
     for _ in range(rounds):
@@ -308,11 +316,12 @@ def train(words: DataFrame, states: int = STATES, rounds: int = ROUNDS, parts: i
                 ll += c.log_likelihood
             yield _cells(emit, np.r_[start, move.ravel(), ll])
 
-        summed = _sum_blocks(words.select("hashes").mapInArrow(gather, "block int, cells binary"), parts)
+        summed = _sum_blocks(words.select("hashes").mapInArrow(gather, _COUNTS), parts, states)
         emit, top = _collected(summed, symbols, states, states + states * states + 1)
         history.append(float(top[-1]))
         model = next_model(Counts(top[:states], top[states:-1].reshape(states, states), emit, history[-1]))
         sent.unpersist()
+        release(spark)
     return model, history
 
 
