@@ -27,13 +27,15 @@ from tidemark.session import cut
 
 Q, DEPTH, GRAM = 10, 5, 8
 SHARD_WORDS = 1 << 17  # strings of this many words at least share a transform
+GROUP_WORDS = 1 << 20  # a task takes up whole minimizers until it has this many words and windows: bounds its memory
 MOST_BITS = 1 << 29  # of the broadcast filter (64 MB); where more would be due it lets more strings pass and results stay
 NO_ID = -(2**63)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
 class Strings(NamedTuple):
-    """Strings of words, each with its document and the first word's place in it."""
+    """Strings of words, each with its document and the first word's place in it; or, where strings stand in several places, with
+    its number and 0."""
 
     doc: np.ndarray
     first: np.ndarray
@@ -72,7 +74,8 @@ def super_windows(t: X.Tokens, words: int = Q * DEPTH) -> Super:
     at = np.flatnonzero(t.ptr[row + 1] - np.arange(n) >= words)
     place = (low[at] & _LOW).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1) | (row[at][1:] != row[at][:-1])])
-    return Super(g[place[new]], row[at[new]], at[new], np.diff(np.r_[new, len(at)]))
+    # minimizers are small hashes by their making: mixed again, they are spread evenly over buckets and filter
+    return Super(X.mix64(g[place[new]] ^ np.uint64(0xB5)), row[at[new]], at[new], np.diff(np.r_[new, len(at)]))
 
 
 def _bucket(key: np.ndarray, n: int) -> np.ndarray:
@@ -233,7 +236,15 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([s.node for s in shards])[source], lcp
 
 
-def repeats(shards: list[Strings], q: int = Q, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Places(NamedTuple):
+    """Where strings stand: those of string i are ptr[i]:ptr[i + 1]."""
+
+    ptr: np.ndarray
+    doc: np.ndarray
+    first: np.ndarray
+
+
+def repeats(shards: list[Strings], q: int = Q, depth: int = DEPTH, places: Places | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, first word, word after the last, documents that share it, the least of them) of each run of windows that stand in
     two documents or more; runs of one document don't overlap unless its strings do."""
     nothing = tuple(np.zeros(0, np.int64) for _ in range(5))
@@ -266,17 +277,21 @@ def repeats(shards: list[Strings], q: int = Q, depth: int = DEPTH) -> tuple[np.n
     block = np.cumsum(lcp < depth)
     start = pos[node] + q * depth <= length[own[node]]
     node, block = node[start], block[start]
-    d = doc[own[node]]
+    d, at = doc[own[node]], first[own[node]] + pos[node]
+    if places is not None:  # ``doc`` is the string's number
+        n = places.ptr[d + 1] - places.ptr[d]
+        i = _gather(places.ptr[d], n)
+        at, block, d = np.repeat(at, n) + places.first[i], np.repeat(block, n), places.doc[i]
     order = np.lexsort((d, block))
-    node, block, d = node[order], block[order], d[order]
-    if not len(node):
+    at, block, d = at[order], block[order], d[order]
+    if not len(d):
         return nothing
     head = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     other = np.r_[True, (block[1:] != block[:-1]) | (d[1:] != d[:-1])]
     shared = np.repeat(np.add.reduceat(other.astype(np.int64), head), np.diff(np.r_[head, len(block)]))
     least = np.repeat(d[head], np.diff(np.r_[head, len(block)]))
     keep = shared > 1
-    d, at, shared, least = d[keep], first[own[node[keep]]] + pos[node[keep]], shared[keep], least[keep]
+    d, at, shared, least = d[keep], at[keep], shared[keep], least[keep]
     if not len(d):
         return nothing
     order = np.lexsort((at, d))
@@ -286,8 +301,29 @@ def repeats(shards: list[Strings], q: int = Q, depth: int = DEPTH) -> tuple[np.n
     return d[run], at[run], at[last] + q * depth, np.maximum.reduceat(shared, run), np.minimum.reduceat(least, run)
 
 
+class Sent(NamedTuple):
+    """A map task's strings for a bucket, each once: minimizer, hash, words; and the places of all its copies."""
+
+    key: np.ndarray
+    hash: np.ndarray
+    length: np.ndarray
+    copies: np.ndarray
+    word: np.ndarray
+    doc: np.ndarray
+    first: np.ndarray
+
+
+_SENT = (np.uint64, np.uint64, np.int32, np.int32, np.uint32, np.int64, np.int32)
+
+
+def _string_hash(t: X.Tokens, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    power, inverse = X._grow(len(t.hash) + 1)
+    total = np.r_[np.zeros(1, np.uint64), np.cumsum(t.hash * power[: len(t.hash)], dtype=np.uint64)]
+    return X.mix64((total[start + length] - total[start]) * inverse[start])
+
+
 def _strings(docs: DataFrame, bits, parts: int) -> DataFrame:
-    """(bucket, doc, first, length, word): the strings of words whose minimizers repeat, a row a bucket and batch."""
+    """A row a bucket and batch with the columns of ``Sent``: strings of words whose minimizers repeat."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -300,35 +336,78 @@ def _strings(docs: DataFrame, bits, parts: int) -> DataFrame:
                 bit = (s.key >> shift).astype(np.int64)
                 keep = (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
                 key, row, start, length = s.key[keep], s.row[keep], s.start[keep], s.windows[keep] + Q * DEPTH - 1
-                got.append((_bucket(key, parts), ids[at + row], start - t.ptr[row], length, (t.hash[_gather(start, length)] >> np.uint64(32)).astype(np.uint32)))
+                h = _string_hash(t, start, length)
+                _, one = np.unique(h ^ key, return_index=True)  # words of copies within the chunk are dropped at once
+                words = np.zeros(len(h), np.int64)
+                words[one] = length[one]
+                got.append((key, h, length, ids[at + row], start - t.ptr[row], words, (t.hash[_gather(start[one := np.sort(one)], length[one])] >> np.uint64(32)).astype(np.uint32)))
             if not got:
                 continue
-            bucket, doc, first, length, word = (np.concatenate([g[i] for g in got]) for i in range(5))
-            begin = np.cumsum(length) - length
-            rows = [(b, doc[i].tobytes(), first[i].astype(np.int32).tobytes(), length[i].astype(np.int32).tobytes(), word[_gather(begin[i], length[i])].tobytes()) for b, i in _by_bucket(bucket)]
+            key, h, length, doc, first, words, word = (np.concatenate([g[i] for g in got]) for i in range(7))
+            begin = np.cumsum(words) - words
+            # a string's first copy has its words: it comes first in each chunk, so in the batch
+            order = np.lexsort((np.arange(len(h)), h, key))
+            new = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (key[order][1:] != key[order][:-1])]) if len(h) else np.zeros(0, np.int64)
+            copies = np.diff(np.r_[new, len(order)])
+            one = order[new]
+            rows = []
+            for b, i in _by_bucket(_bucket(key[one], parts)):
+                places = order[_gather(new[i], copies[i])]
+                cols = Sent(key[one[i]], h[one[i]], length[one[i]], copies[i], word[_gather(begin[one[i]], length[one[i]])], doc[places], first[places])
+                rows.append((b, *[c.astype(t).tobytes() for c, t in zip(cols, _SENT)]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "doc", "first", "length", "word"])
-
-    return docs.select("doc_id", "text").mapInArrow(send, "bucket int, doc binary, first binary, length binary, word binary")
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 7))], ["bucket", *Sent._fields])
+
+    return docs.select("doc_id", "text").mapInArrow(send, "bucket int, " + ", ".join(f"{c} binary" for c in Sent._fields))
+
+
+def _grouped(sent: list[Sent]) -> Iterator[tuple[list[Strings], Places]]:
+    """The strings of a bucket, by minimizer: whole minimizers until there are ``GROUP_WORDS`` words and windows, each string once,
+    in shards as their senders came, small ones joined."""
+    key, h, length, copies, doc, first, word = (np.concatenate([getattr(s, f) for s in sent]).astype(np.int64 if f in ("length", "copies", "first") else getattr(sent[0], f).dtype) for f in ("key", "hash", "length", "copies", "doc", "first", "word"))
+    shard = np.repeat(np.arange(len(sent)), [len(s.key) for s in sent])
+    begin, place = np.cumsum(length) - length, np.cumsum(copies) - copies
+    order = np.lexsort((shard, h, key))
+    k, x = key[order], h[order]
+    new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])])
+    senders = np.diff(np.r_[new, len(order)])
+    total = np.add.reduceat(copies[order], new)
+    weight = np.cumsum(length[order[new]] + total * (length[order[new]] - Q * DEPTH + 1))
+    ends = np.flatnonzero(np.r_[k[new][1:] != k[new][:-1], True]) + 1  # after each minimizer's strings
+    at = 0
+    while at < len(ends):
+        lo = int(ends[at - 1]) if at else 0
+        done = int(weight[lo - 1]) if lo else 0
+        to = max(at + 1, int(np.searchsorted(weight[ends - 1], done + GROUP_WORDS, side="right")))
+        own = np.arange(lo, ends[to - 1])
+        own = own[np.argsort(shard[order[new[own]]], kind="stable")]
+        one = order[new[own]]
+        words = np.cumsum(length[one])
+        out, cut_at = [], 0
+        for e in [*(np.flatnonzero(shard[one][1:] != shard[one][:-1]) + 1), len(one)]:
+            if e == len(one) or words[e - 1] - (words[cut_at - 1] if cut_at else 0) >= SHARD_WORDS:
+                i = one[cut_at:e]
+                out.append(Strings(np.arange(cut_at, e), np.zeros(e - cut_at, np.int64), length[i], word[_gather(begin[i], length[i])]))
+                cut_at = e
+        entries = order[_gather(new[own], senders[own])]
+        i = _gather(place[entries], copies[entries])
+        yield out, Places(np.r_[0, np.cumsum(total[own])], doc[i], first[i])
+        at = to
 
 
 def _merged(strings: DataFrame, parts: int) -> DataFrame:
     names = ["doc_id", "lo", "hi", "n_docs", "first_doc"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[Strings]] = {}
+        by: dict[int, list[Sent]] = {}
         for batch in batches:
             for b, *cols in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
-                s = Strings(*(np.frombuffer(c.as_buffer(), t) for c, t in zip(cols, (np.int64, np.int32, np.int32, np.uint32))))
-                own = by.setdefault(b, [])
-                if own and len(own[-1].word) < SHARD_WORDS:
-                    own[-1] = Strings(*(np.concatenate(x) for x in zip(own[-1], s)))
-                else:
-                    own.append(s)
+                by.setdefault(b, []).append(Sent(*(np.frombuffer(c.as_py(), t) for c, t in zip(cols, _SENT))))
         for b in list(by):
-            found = repeats(by.pop(b))
-            for lo in range(0, len(found[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in found], names)
+            for group, places in _grouped(by.pop(b)):
+                found = repeats(group, places=places)
+                for lo in range(0, len(found[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in found], names)
 
     return strings.repartition(parts, "bucket").mapInArrow(work, ", ".join(f"{c} bigint" for c in names))
 
