@@ -116,7 +116,8 @@ def sample(docs: DataFrame, factor: float = 1.0, seed: int = 17, weights: dict[s
     equal = close.join(last, F.col("__m_source").eqNullSafe(F.col("__m_of2"))).where(bound == F.col("__m_last"))
     split = equal.groupBy("__m_of2", "__m_last").agg(F.sum("__m_extra").alias("__m_some"), F.count(F.lit(1)).alias("__m_same"))
     plan = cut(plan.join(split, F.col("__m_of").eqNullSafe(F.col("__m_of2")), "left").drop("__m_of2"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__m_row")  # whatever its columns are called
+    docs, cols = docs.select(row, "doc_id", "source", "text"), [F.col("__m_row")]
     rows = _weighed(docs, seed).withColumns(_tie(F.col("doc_id"), F.col("text")))
     rows = rows.join(plan, F.col("__m_source").eqNullSafe(F.col("__m_of")))
     t, k = tokens(F.col("text")), F.col("__m_last")
@@ -132,7 +133,7 @@ def sample(docs: DataFrame, factor: float = 1.0, seed: int = 17, weights: dict[s
         few = rows.where(cut_in_two).withColumn("__m_nth", F.row_number().over(among))
         out = out.unionAll(few.select(*cols, (F.col("__m_epochs") + (F.col("__m_nth") <= F.col("__m_some")).cast("long")).alias("__m_copies")))
     out = out.where("__m_copies > 0")
-    return out.select(*cols, F.explode(F.sequence(F.lit(1), F.col("__m_copies").cast("int"))).alias("__m_i")).select(*cols)
+    return out.select(*cols, F.explode(F.sequence(F.lit(1), F.col("__m_copies").cast("int"))).alias("__m_i")).select("__m_row.*")
 
 
 ORACLE = r"""

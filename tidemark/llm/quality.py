@@ -65,8 +65,8 @@ def judge(docs: DataFrame, most: float = 0.2) -> DataFrame:
     """``docs`` with ``_n`` (rules failed), ``_rate``, ``_host_bad`` and ``_reject``.
 
     A document goes if it fails two rules, or one while its host is bad; one that fails none stays whatever its host.
-    Repeated rows each count; null text fails ``few_words``; an empty table gives an empty table. Extra columns are kept,
-    and their names can't clash: the operator's own are looked up before they are added, under names with ``__q_``.
+    Repeated rows each count; null text fails ``few_words``; an empty table gives an empty table. Extra columns are kept;
+    one with a name that is added here is replaced (``keep`` and ``report`` keep such columns out of the way).
     """
     hosts = host_verdicts(docs, most).select(F.col("_host").alias("__q_host"), F.col("_rate").alias("__q_rate"), F.col("_host_bad").alias("__q_bad"))
     out = docs.withColumn("__q_n", _failures(F.col("text")))
@@ -76,7 +76,8 @@ def judge(docs: DataFrame, most: float = 0.2) -> DataFrame:
 
 def keep(docs: DataFrame, most: float = 0.2) -> DataFrame:
     """The documents that the rules keep, with their columns as they were."""
-    return judge(docs, most).where(~F.col("__q_reject")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # whatever its columns are called
+    return judge(docs.select(row, "text", "source"), most).where(~F.col("__q_reject")).select("row.*")
 
 
 def report(docs: DataFrame, most: float = 0.2) -> DataFrame:
