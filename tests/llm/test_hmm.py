@@ -89,3 +89,23 @@ def test_odd_rows(spark):
     assert len(by[3]) == 3 and by[3].count((0, 0.0, None)) == 1 and by[None][0] in by[3]
     assert by[4][0][0] == 30_000 and by[4][0][1] < 0
     assert hmm.score_documents(df.limit(0)).count() == 0
+
+
+def test_every_word_is_a_symbol(spark):
+    """Against Baum-Welch in memory over a dictionary of words, with more words than a table of 2^8 or 2^12 has slots, over several shards a partition."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 6000, 100)) for _ in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    m, _ = hmm.train(hmm.symbol_table(df, 700), 3, 2)
+    hashes = hmm.X.tokenize(hmm.pa.array(texts)).hash
+    words, w = np.unique(hashes, return_inverse=True)
+    assert len(m.emit) == len(words) == len({x for t in texts for x in t.split()})
+    ptr, f = np.arange(0, len(w) + 1, 100), hmm.first_weights(words, np.bincount(w)[:, None], 3)
+    own = hmm.Model(np.full(3, 1 / 3), np.full((3, 3), 0.5 / 3) + 0.5 * np.eye(3), f / f.sum(0))
+    for _ in range(2):
+        c = hmm.expected(own, w, ptr)
+        own = hmm.Model(*((x + hmm.SMOOTH) for x in c[:3]))
+        own = hmm.Model(own.start / own.start.sum(), own.move / own.move.sum(1, keepdims=True), own.emit / own.emit.sum(0))
+    np.testing.assert_allclose(m.emit, own.emit, rtol=1e-4)
+    got = {r.doc_id: r.log_likelihood for r in hmm.score_documents(df, 3, 2).collect()}
+    np.testing.assert_allclose([got[i] for i in range(90)], hmm.forward(own, w, ptr), rtol=1e-6)

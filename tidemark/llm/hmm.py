@@ -1,8 +1,9 @@
 """Hidden Markov language model (operator 2).
 
-Words are symbols: a word's hash modulo the number of symbols, a power of two that follows the corpus' count of distinct
-words. Baum-Welch: each task adds up expected counts of its documents, tasks' counts are summed by symbol block across the
-cluster, and the driver has the new model, at most ``MOST_SYMBOLS`` x states numbers. The forward recursion is scaled and gives the
+Every distinct word is a symbol of its own, known by its 64-bit hash. Documents are kept as shards: the shard's words in order of
+hash and, for each place of a text, which of them it is. Baum-Welch: each task adds up expected counts of its shard's words,
+which are summed by hash range across the cluster; from there each shard gets back the new emissions of its own words alone. So
+neither a task nor the driver ever holds the emissions of all words. The forward recursion is scaled and gives the
 exact likelihood of a sequence: texts are cut into segments of ``SEGMENT`` words; each segment's product of transitions and
 emissions, a states x states matrix, is computed for all segments side by side, and chaining the products gives every segment
 its exact entry (and, backward, exit) vector. So long texts run as wide as short ones.
@@ -10,25 +11,25 @@ its exact entry (and, backward, exit) vector. So long texts run as wide as short
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark import RDD, TaskContext
+from pyspark.sql import DataFrame, Row
 
 from tidemark.llm import text as X
 from tidemark.session import cut, release
 
 STATES, ROUNDS = 6, 3
-MOST_SYMBOLS = 1 << 20  # bounds the model that is sent to the tasks (48 MB); beyond it words share symbols
-LEAST_SYMBOLS = 1 << 8
+SHARD_WORDS = 1 << 22  # a shard is closed at so many words
 SEGMENT = 256
 BATCH_WORDS = 1 << 19
 SMOOTH = 0.1  # added to each expected count
-BLOCK = 1 << 12  # symbols a block of counts
-_COUNTS = "block int, symbols binary, cells binary"
+_SHARDS = "shard int, nth int, ids binary, flags binary, sizes binary, tokens binary, words binary"
+_NO_ID, _NO_TEXT = 1, 2
 
 
 class Model(NamedTuple):
@@ -44,18 +45,10 @@ class Counts(NamedTuple):
     log_likelihood: float
 
 
-def first_model(count: np.ndarray, states: int = STATES) -> Model:
-    """Emissions in proportion to the counts, tilted by symbol and state so that states can part; uniform otherwise."""
-    v = np.arange(len(count), dtype=np.uint64)
-    tilt = np.stack([(X.mix64(v * np.uint64(states) + np.uint64(k + 1)) >> np.uint64(11)).astype(float) / 2.0**53 for k in range(states)], 1)
-    emit = (count[:, None] + SMOOTH) * (0.5 + tilt)
-    move = np.full((states, states), 0.5 / states) + 0.5 * np.eye(states)
-    return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
-
-
-def next_model(c: Counts) -> Model:
-    start, move, emit = c.start + SMOOTH, c.move + SMOOTH, c.emit + SMOOTH
-    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+def first_weights(words: np.ndarray, count: np.ndarray, states: int = STATES) -> np.ndarray:
+    """Emissions, but for the scale, in proportion to the counts, tilted by word and state so that states can part."""
+    tilt = np.stack([(X.mix64(words + X.mix64(np.full(1, k + 1, np.uint64))) >> np.uint64(11)).astype(float) / 2.0**53 for k in range(states)], 1)
+    return (count + SMOOTH) * (0.5 + tilt)
 
 
 class _Segments(NamedTuple):
@@ -187,157 +180,189 @@ def expected(m: Model, symbols: np.ndarray, ptr: np.ndarray) -> Counts:
 
 
 # ---- over tables ----
-def _hashes(batch_col: pa.Array) -> Iterator[tuple[int, X.Tokens]]:
-    for at, c in X.chunks(batch_col):
-        yield at, X.tokenize(c)
-
-
-def symbol_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, hashes): each row's words as 64-bit hashes, in order; null where the text is."""
+def symbol_table(docs: DataFrame, most: int = SHARD_WORDS) -> DataFrame:
+    """The documents as shards, one or more a partition, in order: ids, flags and numbers of words of its rows, tokens (places in
+    ``words``) and words (64-bit hashes, rising). A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            valid = batch.column(1).is_valid()
-            for at, t in _hashes(batch.column(1)):
-                n = len(t.ptr) - 1
-                low = (t.hash >> np.uint64(32)).astype(np.uint32)
-                rows = pa.array([low[x:y].tobytes() for x, y in zip(t.ptr[:-1], t.ptr[1:])], pa.binary())
-                rows = pa.compute.if_else(valid.slice(at, n), rows, pa.nulls(n, pa.binary()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).cast(pa.int64()), rows], ["doc_id", "hashes"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, hashes binary")
+        shard, nth, rows, held = TaskContext.get().partitionId(), 0, [], 0
 
+        def packed() -> pa.RecordBatch:
+            ids, flags, sizes, hashes = (np.concatenate(x) for x in zip(*rows))
+            words, tokens = np.unique(hashes, return_inverse=True)
+            cells = (ids.astype(np.int64), flags.astype(np.uint8), sizes.astype(np.int64), tokens.astype(np.uint32), words)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([nth], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], ["shard", "nth", "ids", "flags", "sizes", "tokens", "words"])
 
-def _distinct_words(words: DataFrame, parts: int) -> int:
-    """How many words the corpus has: every task's distinct words meet by hash range."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = np.unique(np.frombuffer(b"".join(x for x in batch.column(0).to_pylist() if x), np.uint32))
-            bucket = (w.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)
-            cuts = np.searchsorted(bucket, np.arange(parts + 1))
-            rows = [(b, w[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], ["bucket", "words"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [np.frombuffer(x.as_buffer(), np.uint32) for batch in batches for x in batch.column(1)]
+            for at, c in X.chunks(batch.column(1)):
+                t, n = X.tokenize(c), len(c)
+                ids, text = batch.column(0).slice(at, n).cast(pa.int64()), batch.column(1).slice(at, n)
+                flags = _NO_ID * ids.is_null().to_numpy(zero_copy_only=False) + _NO_TEXT * text.is_null().to_numpy(zero_copy_only=False)
+                rows.append((pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False), flags, np.diff(t.ptr), t.hash))
+                held += len(t.hash)
+                if held >= most:
+                    yield packed()
+                    nth, held = nth + 1, 0
+                    rows.clear()
+        if rows:
+            yield packed()
+
+    return docs.select("doc_id", "text").mapInArrow(run, _SHARDS)
+
+
+def _batches(row: Row) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first document, end, symbols of their words, where each document's begin), about ``BATCH_WORDS`` words at a time."""
+    tokens, size = np.frombuffer(row.tokens, np.uint32), np.frombuffer(row.sizes, np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < len(size):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + BATCH_WORDS, side="right")))
+        yield at, to, tokens[done : ends[to - 1]].astype(np.int64), np.r_[0, np.cumsum(size[at:to])]
+        at = to
+
+
+def _messages(row: Row, cells: np.ndarray, parts: int) -> Iterator[tuple[int, tuple[int, int, bytes, bytes]]]:
+    """A shard's counts by hash range, in single precision. The first range gets one in any case, so that each shard is answered."""
+    words = np.frombuffer(row.words, np.uint64)
+    cuts = np.searchsorted(((words >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1))
+    for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if y > x or not b:
+            yield b, (row.shard, row.nth, words[x:y].tobytes(), cells[x:y].astype(np.float32).tobytes())
+
+
+def _summed(messages: list[tuple[int, int, bytes, bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of a range, their counts over all shards in double precision, which word each row of the messages is)."""
+    words, at = np.unique(np.concatenate([np.frombuffer(m[2], np.uint64) for m in messages]), return_inverse=True)
+    cells = np.concatenate([np.frombuffer(m[3], np.float32) for m in messages]).reshape(-1, width)
+    return words, np.stack([np.bincount(at, cells[:, k], minlength=len(words)) for k in range(width)], 1), at
+
+
+def _answers(messages: RDD, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, shards: DataFrame, n: int) -> DataFrame:
+    """(nth, weights): for each shard, in its own partition, the weights of its words."""
+
+    def answer(it: Iterator) -> Iterator:
+        got = [(b, m) for b, m in it if len(m) == 4]
         if got:
-            yield pa.RecordBatch.from_arrays([pa.array([len(np.unique(np.concatenate(got)))], pa.int64())], ["n"])
+            words, total, at = _summed([m for _, m in got], width)
+            weights, x = weigh(words, total).astype(np.float32), 0
+            for b, m in got:
+                y = x + len(m[2]) // 8
+                yield m[0], (m[1], b, weights[at[x:y]].tobytes())
+                x = y
+
+    def join(it: Iterator) -> Iterator:
+        by: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+        for _, (nth, b, x) in it:
+            by[nth].append((b, x))
+        for nth in sorted(by):
+            yield nth, b"".join(x for _, x in sorted(by[nth]))
 
-    blocks = words.select("hashes").mapInArrow(send, "bucket int, words binary")
-    return blocks.repartition(parts, "bucket").mapInArrow(count, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    back = messages.mapPartitions(answer).partitionBy(n, int).mapPartitions(join)
+    return cut(shards.sparkSession.createDataFrame(back, "nth int, weights binary", verifySchema=False))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], col: int, symbols: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, symbols of their words, where each row's begin), about ``BATCH_WORDS`` words at a time."""
-    for batch in batches:
-        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        ends, at = np.cumsum(size), 0
-        while at < batch.num_rows:
-            done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + BATCH_WORDS, side="right")))
-            part = batch.slice(at, to - at)
-            raw = b"".join(x or b"" for x in part.column(col).to_pylist())
-            yield part, (np.frombuffer(raw, np.uint32) & np.uint32(symbols - 1)).astype(np.int64), np.r_[0, np.cumsum(size[at:to])]
-            at = to
+class Fitted(NamedTuple):
+    start: np.ndarray
+    move: np.ndarray
+    total: np.ndarray  # by state, the sum of all words' weights
+    weights: DataFrame | None  # by shard; None where there are no words
+    history: list[float]  # the corpus' log-likelihood before each round
 
 
-def _sum_blocks(parts_df: DataFrame, parts: int, width: int) -> DataFrame:
-    """Counts of one block from all tasks, summed in double precision: (block, symbols, cells)."""
+def _own(row: Row, got: Row, f: Fitted) -> Model:
+    """The model as far as a shard's words go."""
+    k = len(f.start)
+    if row.nth != got.nth or len(got.weights) * 2 != len(row.words) * k:
+        raise RuntimeError("weights of another shard")
+    return Model(f.start, f.move, np.frombuffer(got.weights, np.float32).reshape(-1, k) / f.total)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, s, x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                if b < 0:
-                    x = np.frombuffer(x.as_buffer(), np.float64)
-                    total[b] = total[b] + x if b in total else x
-                else:
-                    if b not in total:
-                        total[b] = np.zeros((BLOCK, width))
-                    total[b][np.frombuffer(s.as_buffer(), np.uint16)] += np.frombuffer(x.as_buffer(), np.float32).reshape(-1, width)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "cells"])
-
-    return parts_df.repartition(parts, "block").mapInArrow(add, "block int, cells binary")
-
-
-def _cells(emit: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
-    """A task's counts by block of symbols, those of symbols that it has, in single precision; block -1 has the rest."""
-    rows = [(-1, b"", head.astype(np.float64).tobytes())]
-    for b in range(0, len(emit), BLOCK):
-        own = emit[b : b + BLOCK]
-        at = np.flatnonzero(own.any(1))
-        if len(at):
-            rows.append((b // BLOCK, at.astype(np.uint16).tobytes(), own[at].astype(np.float32).tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["block", "symbols", "cells"])
-
-
-def _collected(summed: DataFrame, symbols: int, width: int, head: int) -> tuple[np.ndarray, np.ndarray]:
-    emit, top = np.zeros((max(symbols, BLOCK), width)), np.zeros(head)
-    for r in summed.toLocalIterator():
-        x = np.frombuffer(r["cells"], np.float64)
-        if r["block"] < 0:
-            top = x.copy()
-        else:
-            emit[r["block"] * BLOCK :][:BLOCK] = x.reshape(-1, width)
-    return emit[:symbols], top
-
-
-def train(words: DataFrame, states: int = STATES, rounds: int = ROUNDS, parts: int | None = None) -> tuple[Model, list[float]]:
-    """(model, the corpus' log-likelihood before each round). All documents count in every round."""
-    spark = words.sparkSession
+
+def fit(shards: DataFrame, states: int = STATES, rounds: int = ROUNDS, parts: int | None = None) -> Fitted:
+    """The model of all documents; all of them count in every round. ``shards`` must be cut."""
+    spark, data = shards.sparkSession, shards.rdd
+    sc, n = spark.sparkContext, data.getNumPartitions()
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    distinct, symbols = _distinct_words(words, parts), LEAST_SYMBOLS
-    while symbols < distinct and symbols < MOST_SYMBOLS:
-        symbols *= 2
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(symbols)
-        for _, w, _ in _batches(batches, 0, symbols):
-            total += np.bincount(w, minlength=symbols)
-        yield _cells(total[:, None], np.zeros(1))
-
-    counted = _sum_blocks(words.select("hashes").mapInArrow(tally, _COUNTS), parts, 1)
-    model = first_model(_collected(counted, symbols, 1, 1)[0][:, 0], states)
-    history = []
+    f = Fitted(np.full(states, 1 / states), np.full((states, states), 0.5 / states) + 0.5 * np.eye(states), np.zeros(states), None, [])
+    if not n:
+        return f
+
+    def tally(it: Iterator[Row]) -> Iterator:
+        for row in it:
+            words = len(row.words) // 8
+            yield from _messages(row, np.bincount(np.frombuffer(row.tokens, np.uint32), minlength=words)[:, None], parts)
+
+    def first(words: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return first_weights(words, count, states)
+
+    def totals(it: Iterator) -> list[tuple[int, np.ndarray]]:
+        got = [m for _, m in it]
+        if not got:
+            return []
+        words, count, _ = _summed(got, 1)
+        return [(len(words), first(words, count).sum(0))]
+
+    messages = data.mapPartitions(tally).partitionBy(parts, int)
+    by_range = sc.runJob(messages, totals)
+    distinct = sum(x for x, _ in by_range)
+    if not distinct:
+        return f
+    f = f._replace(total=sum(x for _, x in by_range), weights=_answers(messages, first, 1, shards, n))
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(model)
-
-        def gather(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            m = sent.value
-            start, move, emit, ll = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)), 0.0
-            for _, w, ptr in _batches(batches, 0, symbols):
-                c = expected(m, w, ptr)
-                start += c.start
-                move += c.move
-                emit += c.emit
-                ll += c.log_likelihood
-            yield _cells(emit, np.r_[start, move.ravel(), ll])
-
-        summed = _sum_blocks(words.select("hashes").mapInArrow(gather, _COUNTS), parts, states)
-        emit, top = _collected(summed, symbols, states, states + states * states + 1)
-        history.append(float(top[-1]))
-        model = next_model(Counts(top[:states], top[states:-1].reshape(states, states), emit, history[-1]))
-        sent.unpersist()
+
+        def gather(it: Iterator[tuple[Row, Row]], f: Fitted = f._replace(weights=None)) -> Iterator:
+            start, move, total, ll = np.zeros(states), np.zeros((states, states)), np.zeros(states), 0.0
+            for row, got in it:
+                m = _own(row, got, f)
+                emit = np.zeros_like(m.emit)
+                for _, _, w, ptr in _batches(row):
+                    c = expected(m, w, ptr)
+                    start += c.start
+                    move += c.move
+                    emit += c.emit
+                    ll += c.log_likelihood
+                total += emit.sum(0)
+                yield from _messages(row, emit, parts)
+            yield parts, (start, move, total, ll, None)  # the range after the last; five, as others are four
+
+        messages = data.zip(f.weights.rdd).mapPartitions(gather).partitionBy(parts + 1, int)
+        start, move, total, ll = (sum(x) for x in list(zip(*sc.runJob(messages, lambda it: [m for _, m in it], [parts])))[:4])
+        start, move = start + SMOOTH, move + SMOOTH
+        weights = _answers(messages, lambda _, total: total + SMOOTH, states, shards, n)
+        f = Fitted(start / start.sum(), move / move.sum(1, keepdims=True), total + SMOOTH * distinct, weights, [*f.history, float(ll)])
+        del messages, weights, gather
         release(spark)
-    return model, history
+    return f
 
 
-def score(words: DataFrame, model: Model) -> DataFrame:
-    """One row a row of ``words``: doc_id, n_words, log_likelihood, perplexity (a word)."""
-    sent, symbols = words.sparkSession.sparkContext.broadcast(model), len(model.emit)
+def train(shards: DataFrame, states: int = STATES, rounds: int = ROUNDS, parts: int | None = None) -> tuple[Model, list[float]]:
+    """(model, the corpus' log-likelihood before each round). The model has all words, in order of hash: for small corpora."""
+    shards = cut(shards)
+    f = fit(shards, states, rounds, parts)
+    if f.weights is None:
+        return Model(f.start, f.move, np.zeros((0, states))), f.history
+    own = f._replace(weights=None)  # what goes to the tasks
+    got = shards.rdd.zip(f.weights.rdd).map(lambda x: (np.frombuffer(x[0].words, np.uint64), _own(*x, own).emit)).collect()
+    _, at = np.unique(np.concatenate([w for w, _ in got]), return_index=True)
+    return Model(f.start, f.move, np.concatenate([e for _, e in got])[at]), f.history
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, w, ptr in _batches(batches, 1, symbols):
-            n, ll = np.diff(ptr), forward(sent.value, w, ptr)
-            gone = ~rows.column(1).is_valid().to_numpy(zero_copy_only=False)
-            none = gone | (n == 0)
-            per = np.exp(-ll / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64(), mask=gone), pa.array(np.round(ll, 6), pa.float64(), mask=gone), pa.array(np.round(per, 6), pa.float64(), mask=none)], ["doc_id", "n_words", "log_likelihood", "perplexity"])
 
-    return words.select("doc_id", "hashes").mapInArrow(run, "doc_id bigint, n_words bigint, log_likelihood double, perplexity double")
+def score(shards: DataFrame, f: Fitted) -> DataFrame:
+    """One row a row of the documents: doc_id, n_words, log_likelihood, perplexity (a word)."""
+    weights, own = f.weights, f._replace(weights=None)
+
+    def run(it: Iterator) -> Iterator[tuple]:
+        for x in it:
+            row, m = (x, Model(own.start, own.move, np.zeros((0, len(own.start))))) if isinstance(x, Row) else (x[0], _own(*x, own))
+            ids, flags = np.frombuffer(row.ids, np.int64), np.frombuffer(row.flags, np.uint8)
+            for at, to, w, ptr in _batches(row):
+                n, ll = np.diff(ptr), forward(m, w, ptr)
+                per = np.round(np.exp(-ll / np.maximum(n, 1)), 6)
+                for i, flag, a, b, c in zip(ids[at:to].tolist(), flags[at:to].tolist(), n.tolist(), np.round(ll, 6).tolist(), per.tolist()):
+                    gone = flag & _NO_TEXT
+                    yield None if flag & _NO_ID else i, None if gone else a, None if gone else b, None if gone or not a else c
+
+    rows = (shards.rdd if weights is None else shards.rdd.zip(weights.rdd)).mapPartitions(run)
+    return shards.sparkSession.createDataFrame(rows, "doc_id bigint, n_words bigint, log_likelihood double, perplexity double", verifySchema=False)
 
 
 def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
@@ -346,6 +371,5 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     A text without words has likelihood 1 (logarithm 0) and null perplexity; a null text nulls. Null identifiers stay null;
     repeated rows are scored, and count in training, once each. An empty table gives none. Only doc_id and text are read.
     """
-    words = cut(symbol_table(docs))
-    model, _ = train(words, states, rounds)
-    return score(words, model)
+    shards = cut(symbol_table(docs))
+    return score(shards, fit(shards, states, rounds))
