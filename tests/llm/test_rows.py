@@ -191,6 +191,14 @@ def test_worklist_ends_and_prose_is_left_alone():
     assert secrets.scan(bomb, most=1 << 20) == []
 
 
+def test_every_occurrence_of_an_encoded_secret():
+    for wrap in WRAP.values():
+        text = f"one {wrap(TOKEN)} two {wrap(TOKEN)} three"
+        found = [f for f in secrets.scan(text) if f.rule == "assigned"]
+        assert len(found) == 2 and found[0].end < text.index(" two ") + 1 and found[1].start > text.index(" two ")
+        assert not [f for f in secrets.scan(secrets.redact(text, found)) if f.secret == found[0].secret]
+
+
 def test_secret_rows(spark, odd):
     assert secrets.find(odd).count() == 0 and secrets.find(odd.limit(0)).count() == 0
     assert rows_of(secrets.clean(odd)) == rows_of(odd)
