@@ -199,6 +199,12 @@ def test_every_occurrence_of_an_encoded_secret():
         assert not [f for f in secrets.scan(secrets.redact(text, found)) if f.secret == found[0].secret]
 
 
+def test_all_secrets_of_a_compressed_layer():
+    config = "".join(f'password{i} = x\npassword = "hunter-number-{i}"\n' for i in range(5))
+    found = secrets.scan("a " + base64.b64encode(gzip.compress(config.encode())).decode() + " b")
+    assert sorted(f.secret for f in found) == [f"hunter-number-{i}" for i in range(5)]
+
+
 def test_secret_rows(spark, odd):
     assert secrets.find(odd).count() == 0 and secrets.find(odd.limit(0)).count() == 0
     assert rows_of(secrets.clean(odd)) == rows_of(odd)
