@@ -205,6 +205,19 @@ def test_all_secrets_of_a_compressed_layer():
     assert sorted(f.secret for f in found) == [f"hunter-number-{i}" for i in range(5)]
 
 
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress])
+def test_layers_of_any_characters(pack):
+    for said in ("\ufeff" + TOKEN, "Voil\u00e0\u00a0: \u200b\f\x1b" + TOKEN):
+        for code in ("utf-8", "latin-1", "utf-16", "utf-16-le", "utf-16-be"):
+            if code != "latin-1" or "\u200b" not in said:
+                text = "a " + base64.b64encode(pack(said.encode(code, "ignore"))).decode() + " b"
+                found = secrets.scan(text)
+                assert TOKEN.split('"')[1] in {f.secret for f in found}
+                assert not [f for f in secrets.scan(secrets.redact(text, found)) if f.rule == "assigned"]
+    assert TOKEN.split('"')[1] in {f.secret for f in secrets.scan("".join(f"%{b:02X}" for b in ("\u00e9 " + TOKEN).encode("latin-1")))}
+    assert TOKEN.split('"')[1] in {f.secret for f in secrets.scan("".join(f"%{b:02X}" for b in TOKEN.encode("utf-16-le")))}
+
+
 def test_secret_rows(spark, odd):
     assert secrets.find(odd).count() == 0 and secrets.find(odd.limit(0)).count() == 0
     assert rows_of(secrets.clean(odd)) == rows_of(odd)
