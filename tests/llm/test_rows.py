@@ -1,8 +1,10 @@
 """Odd rows, and each operator against a slower way to the same result."""
 
 import base64
+import bz2
 import gzip
 import json
+import lzma
 import math
 import random
 import re
@@ -218,6 +220,18 @@ def test_layers_of_any_characters(pack):
     assert TOKEN.split('"')[1] in {f.secret for f in secrets.scan("".join(f"%{b:02X}" for b in TOKEN.encode("utf-16-le")))}
 
 
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress, bz2.compress, lzma.compress, zlib.compress])
+def test_wrapped_and_glued_base64(pack):
+    rng = random.Random(4)
+    filler = "".join(chr(rng.randrange(97, 123)) for _ in range(300))
+    blob = base64.b64encode(pack((filler[:40] + " " + TOKEN + " " + filler).encode())).decode()
+    lines = "\n".join(blob[i : i + 64] for i in range(0, len(blob), 64))
+    for text in ("mail:\n\n" + lines + "\n\nRegards", "key: " + lines.replace("\n", "\r\n  ") + "\nnext line", *(f"see {x}{blob}, there" for x in ("data/", "key_", "a-b-", "x", "xy", "xyz"))):
+        found = secrets.scan(text)
+        assert TOKEN.split('"')[1] in {f.secret for f in found}, text
+        assert TOKEN.split('"')[1] not in {f.secret for f in secrets.scan(secrets.redact(text, found))}
+
+
 def test_secret_rows(spark, odd):
     assert secrets.find(odd).count() == 0 and secrets.find(odd.limit(0)).count() == 0
     assert rows_of(secrets.clean(odd)) == rows_of(odd)
