@@ -356,6 +356,13 @@ def test_html_blocks():
     assert html.extract("<" * 5000)[1] >= 0 and html.extract("<div>" * 20_000 + PROSE * 3)[2] == 1
 
 
+def test_elements_that_do_not_hide_the_rest():
+    good = f"<p>{PROSE * 2}</p>"
+    for page in (f"<form>{good}</form>", f"<select><option>a<option>b</select>{PROSE * 2}", f"<option>a{good}", f"<svg class='x' />{good}", f"<svg/>{good}<svg><text>no</text></svg>", f"<header>{good}</header>"):
+        assert html.extract(page)[0] == (PROSE * 2).strip(), page
+    assert html.extract(f"<svg><g/><text>no</text></svg>{good}<form><select><option>no<option>no</select></form>{good}")[0].split("\n") == [(PROSE * 2).strip()] * 2
+
+
 def test_blocks_take_the_label_of_the_nearest_decided():
     good, bad, short = html.Block(PROSE * 2, 0, False, False), html.Block("x " * 60, 120, False, False), html.Block("Short one.", 0, False, False)
     assert html.classify([good, short, good, short, bad, short]) == ["good", "good", "good", "bad", "bad", "bad"]

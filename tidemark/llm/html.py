@@ -18,7 +18,7 @@ STOP_WORDS: dict[str, frozenset[str]] = {
 }
 BLOCK_TAGS = frozenset("address article aside blockquote body br canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section summary table tbody td textarea tfoot th thead title tr ul".split())
 SKIP_TAGS = ("script", "style", "noscript", "template", "svg")
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.S | re.I)
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|svg(?!(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>))\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.S | re.I)
 _BLANK = re.compile(r"\s+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -27,7 +27,7 @@ class Block(NamedTuple):
     text: str
     link_chars: int
     heading: bool
-    boiler: bool  # within nav, header, footer, aside, title, form or option
+    boiler: bool  # within nav, header, footer, aside, title or option
 
 
 class Rules(NamedTuple):
@@ -40,20 +40,21 @@ class Rules(NamedTuple):
     link_most: float = 0.2
 
 
-_BOILER = frozenset("nav header footer aside title form option".split())
+_BOILER = frozenset("nav header footer aside title".split())
+_OPTION_ENDS = BLOCK_TAGS | {"select", "optgroup", "datalist"}  # </option> may be left out
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of visible text in order, blanks collapsed; blocks without text are left out."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    links, heading, boiler, at = 0, 0, 0, 0
+    links, heading, boiler, option, at = 0, 0, 0, False, 0
 
     def close() -> None:
         if parts:
             text = _BLANK.sub(" ", "".join(p for p, _ in parts)).strip()
             if text:
-                out.append(Block(text, sum(len(_BLANK.sub(" ", p).strip()) for p, a in parts if a), heading > 0, boiler > 0))
+                out.append(Block(text, sum(len(_BLANK.sub(" ", p).strip()) for p, a in parts if a), heading > 0, boiler > 0 or option))
             parts.clear()
 
     for m in _MARK.finditer(page):
@@ -66,8 +67,9 @@ def blocks(page: str) -> list[Block]:
         end = bool(m[2])
         if tag == "a":
             links = max(0, links - 1) if end else links + 1
-        elif tag in BLOCK_TAGS:
+        elif tag in _OPTION_ENDS:
             close()
+            option = tag == "option" and not end
             if tag[0] == "h" and tag[1:] in "123456" and len(tag) == 2:
                 heading = max(0, heading - 1) if end else heading + 1
             if tag in _BOILER:
@@ -86,8 +88,8 @@ def stop_counts(text: str) -> tuple[int, dict[str, int]]:
 def classify(bs: list[Block], rules: Rules = Rules()) -> list[str]:
     """``good`` or ``bad`` for each block.
 
-    Pass 1 looks at a block alone: ``bad`` inside boilerplate elements or with links over ``link_most`` of its characters;
-    else ``short`` (undecided) under ``short`` characters; else by the density of the page's stop words: ``good`` at
+    Pass 1 looks at a block alone: ``bad`` with links over ``link_most`` of its characters, or inside boilerplate elements
+    unless it is ``good`` by length and density; else ``short`` (undecided) under ``short`` characters; else by the density of the page's stop words: ``good`` at
     ``stop_high`` and over ``long`` characters, ``near`` (undecided) at ``stop_low``, ``bad`` below. Pass 2: an undecided
     block takes the label of its nearest decided neighbours: where both sides agree, theirs; else the nearer side's; at equal
     distance ``near`` blocks and headings are good and other short ones bad. The page's ends count as bad neighbours.
@@ -97,12 +99,14 @@ def classify(bs: list[Block], rules: Rules = Rules()) -> list[str]:
     first: list[str] = []
     for b, (n, c) in zip(bs, counts):
         density = c[lang] / n if n else 0.0
-        if b.boiler or b.link_chars > rules.link_most * len(b.text):
+        if b.link_chars > rules.link_most * len(b.text):
+            first.append("bad")
+        elif len(b.text) >= rules.short and density >= rules.stop_high and len(b.text) > rules.long:
+            first.append("good")
+        elif b.boiler:
             first.append("bad")
         elif len(b.text) < rules.short:
             first.append("short")
-        elif density >= rules.stop_high and len(b.text) > rules.long:
-            first.append("good")
         elif density >= rules.stop_low:
             first.append("near")
         else:
