@@ -20,6 +20,15 @@ def test_query(spark, name):
         assert df.count() > 0
 
 
+def test_least_similarity_has_no_row_limit_and_all_users_get_rings(spark):
+    from tidemark.sources import tables
+
+    plan = registry.QUERIES["similar_least"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" not in plan
+    many = tables.table(spark, SF, "events").groupBy("user_id").count().where("count > 1").count()
+    assert registry._with_back_edges(spark, SF).count() == tables.user_links(spark, SF).count() + many
+
+
 def test_entry_survives_without_the_llm_folder(tmp_path):
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__"))

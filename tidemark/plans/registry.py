@@ -157,8 +157,8 @@ _add("facts_why", lambda s, d: _user(s, d).query("FACTS OF user:3 WHY DEPTH 2",
 
 
 def _with_back_edges(s: SparkSession, d: str) -> DataFrame:
-    """The users' chains, some closed to rings."""
-    e = tables.table(s, d, "events").where("user_id % 10 = 3").groupBy("user_id").agg(F.max("event_id").alias("hi"), F.min("event_id").alias("lo")).where("hi > lo")
+    """The users' chains, all of more than one event closed to rings."""
+    e = tables.table(s, d, "events").groupBy("user_id").agg(F.max("event_id").alias("hi"), F.min("event_id").alias("lo")).where("hi > lo")
     back = e.select(F.col("hi").alias("log_seq"), F.concat(F.lit("evt:"), F.col("hi").cast("string")).alias("from_id"), F.concat(F.lit("evt:"), F.col("lo").cast("string")).alias("to_id"), F.lit("TRIGGERED").alias("type"))
     return tables.user_links(s, d).unionByName(back)
 
@@ -180,7 +180,7 @@ _add("causal_degree", lambda s, d: graph.degree(tables.user_links(s, d)), f"WITH
 
 # ---- vectors, search ----
 _add("similar_topk", lambda s, d: _rounded(vector.similar(tables.vector_facts(s, d), "vec:3", 10), "score"), "SELECT 'vec:' || vec_id AS event_id, 'vec:' || label || '/' || vec_id AS subject, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), 6) AS score FROM embeddings WHERE vec_id <> 3 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)) DESC, event_id LIMIT 10")
-_add("similar_least", lambda s, d: _rounded(Engine(tables.vector_facts(s, d)).query("SIMILAR TO vec:8 TOP 1000000 MIN 0.3", NOW).table, "score"), "SELECT 'vec:' || vec_id AS event_id, 'vec:' || label || '/' || vec_id AS subject, round(s, 6) AS score FROM (SELECT *, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 8)) AS s FROM embeddings) WHERE vec_id <> 8 AND s >= 0.3")
+_add("similar_least", lambda s, d: _rounded(vector.similar(tables.vector_facts(s, d), "vec:8", None, 0.3), "score"), "SELECT 'vec:' || vec_id AS event_id, 'vec:' || label || '/' || vec_id AS subject, round(s, 6) AS score FROM (SELECT *, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 8)) AS s FROM embeddings) WHERE vec_id <> 8 AND s >= 0.3")
 _TERMS = ("license", "the", "und")
 _BM = (
     f"WITH {DOCS}, w AS (SELECT *, list_filter(regexp_split_to_array(lower(concat_ws(' ', subject, text, lang, source)), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '') AS w FROM doc), "
