@@ -397,7 +397,7 @@ def test_matroska_damage():
     rng = random.Random(1)
     for n in range(0, len(blob), 7):
         got, error = matroska.parse(blob[:n])
-        assert error and got[: len(got)] == [p._replace(codec=g.codec, duration_ns=g.duration_ns, timestamp_ns=g.timestamp_ns, cued=g.cued) for p, g in zip(whole, got)]
+        assert error and got[: len(got)] == [p._replace(cued=g.cued) for p, g in zip(whole, got)]
     for _ in range(300):
         b = bytearray(blob)
         b[rng.randrange(len(b))] = rng.randrange(256)

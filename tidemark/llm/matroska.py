@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any, NamedTuple
 
 import pyarrow as pa
@@ -25,10 +25,22 @@ class Packet(NamedTuple):
     duration_ns: int | None
     keyframe: bool
     cluster: int
+    cluster_offset: int  # where the cluster element begins
     lace: int  # place in the block's lace; 0 without lacing
+    block_offset: int  # where the block or block group element begins
     byte_offset: int
     n_bytes: int
-    cued: bool  # a cue points at this track and time; of a lace, its first frame
+    cued: bool  # a cue leads to this block; of a lace, to its first frame
+
+
+class Cue(NamedTuple):
+    track: int
+    timestamp_ns: int
+    cluster_offset: int | None  # where the cue says that the cluster begins
+    block_offset: int | None  # where the block that it leads to begins
+    packet: int | None  # number of that block's first packet in the file
+    byte_offset: int | None
+    n_bytes: int | None
 
 
 def vint(b: bytes, at: int, end: int) -> tuple[int, int, bool]:
@@ -98,22 +110,113 @@ def lace_sizes(b: bytes, at: int, end: int, kind: int) -> tuple[list[int], int]:
     return [*sizes, last], at
 
 
-def parse(b: bytes) -> tuple[list[Packet], str | None]:
-    """(packets in file order, what is damaged or None). Packets before the damage are kept."""
-    scale, tracks, cues, blocks, clusters = 1_000_000, {}, set(), [], 0
+class _Block(NamedTuple):
+    track: int
+    ticks: int
+    duration: int | None
+    key: bool
+    cluster: int
+    offset: int
+    frames: list[tuple[int, int]]  # (first byte, bytes)
+
+
+class _Cluster(NamedTuple):
+    offset: int
+    data: int
+
+
+class _Mark(NamedTuple):
+    """A cue as it stands in the file; positions count from the segment's data, or from the cluster's."""
+
+    track: int
+    ticks: int
+    cluster: int | None
+    block: int | None
+    nth: int | None
+
+
+class _Segment:
+    """What a segment says, put together when all of it is read: cues and tracks may stand before or after what they speak of."""
+
+    def __init__(self, data: int, first_cluster: int):
+        self.data, self.first_cluster = data, first_cluster
+        self.scale = 1_000_000
+        self.tracks: dict[int, tuple[str | None, int | None]] = {}
+        self.clusters: list[_Cluster] = []
+        self.blocks: list[_Block] = []
+        self.marks: list[_Mark] = []
+
+    def target(self, m: _Mark, within: dict[int, list[int]], at: dict[int, int]) -> int | None:
+        """The block that a cue leads to: the one at its place in the cluster, the one of its number, or else the track's first
+        of its time there. Without a place of the cluster, the track's first of its time in the segment."""
+        if m.cluster is None:
+            own = range(len(self.blocks))
+        else:
+            c = at.get(self.data + m.cluster)
+            if c is None:
+                return None
+            own = within.get(c, [])
+            if m.block is not None:
+                place = self.clusters[c - self.first_cluster].data + m.block
+                return next((i for i in own if self.blocks[i].offset == place and self.blocks[i].track == m.track), None)
+            if m.nth is not None:
+                i = own[m.nth - 1] if 0 < m.nth <= len(own) else None
+                return i if i is not None and self.blocks[i].track == m.track else None
+        return next((i for i in own if self.blocks[i].track == m.track and self.blocks[i].ticks == m.ticks), None)
+
+    def tables(self, before: int) -> tuple[list[Packet], list[Cue]]:
+        """Packets and cues; ``before`` packets of the file come first."""
+        within: dict[int, list[int]] = {}
+        by_time: dict[tuple[int, int], int] = {}
+        for i, x in enumerate(self.blocks):
+            within.setdefault(x.cluster, []).append(i)
+            by_time.setdefault((x.track, x.ticks), i)
+        at = {c.offset: self.first_cluster + n for n, c in enumerate(self.clusters)}
+        targets = [by_time.get((m.track, m.ticks)) if m.cluster is None else self.target(m, within, at) for m in self.marks]
+        cued = set(targets)
+        packets: list[Packet] = []
+        first: list[int] = []
+        for i, x in enumerate(self.blocks):
+            codec, default = self.tracks.get(x.track, (None, None))
+            begin, n = x.ticks * self.scale, len(x.frames)
+            first.append(before + len(packets))
+            for k, (offset, size) in enumerate(x.frames):
+                if x.duration is None:
+                    after, span = k * (default or 0), default
+                else:  # the block's duration is that of all its frames
+                    after = x.duration * self.scale * k // n
+                    span = x.duration * self.scale * (k + 1) // n - after
+                packets.append(Packet(x.track, codec, begin + after, span, x.key, x.cluster, self.clusters[x.cluster - self.first_cluster].offset, k, x.offset, offset, size, not k and i in cued))
+        cues = []
+        for m, i in zip(self.marks, targets):
+            place = None if m.cluster is None else self.data + m.cluster
+            if i is None:
+                cues.append(Cue(m.track, m.ticks * self.scale, place, None, None, None, None))
+            else:
+                x = self.blocks[i]
+                cues.append(Cue(m.track, m.ticks * self.scale, place, x.offset, first[i], *x.frames[0]))
+        return packets, cues
+
+
+def read(b: bytes) -> tuple[list[Packet], list[Cue], str | None]:
+    """(packets in file order, cues in file order, what is damaged or None). What comes before the damage is kept."""
+    segments: list[_Segment] = []
+    count = 0
 
-    def block(lo: int, hi: int, time: int, n: int, key: bool | None, duration: int | None) -> None:
+    def block(s: _Segment, offset: int, lo: int, hi: int, time: int, key: bool | None, duration: int | None) -> None:
         track, at, _ = vint(b, lo, hi)
         if at + 3 > hi:
             raise Damaged(f"block cut off at {lo}")
         rel = int.from_bytes(b[at : at + 2], "big", signed=True)
         flags = b[at + 2]
         sizes, at = lace_sizes(b, at + 3, hi, (flags >> 1) & 3)
-        for i, size in enumerate(sizes):
-            blocks.append((track, time + rel, duration, bool(flags & 0x80) if key is None else key, n, i, at, size))
+        frames = []
+        for size in sizes:
+            frames.append((at, size))
             at += size
+        s.blocks.append(_Block(track, time + rel, duration, bool(flags & 0x80) if key is None else key, count - 1, offset, frames))
 
-    def cluster(lo: int, hi: int | None, end: int, n: int) -> int:
+    def cluster(s: _Segment, lo: int, hi: int | None, end: int) -> int:
         at, time, stop = lo, 0, end if hi is None else hi
         while at < stop:
             i, d, e = element(b, at, stop)
@@ -124,22 +227,18 @@ def parse(b: bytes) -> tuple[list[Packet], str | None]:
             if i == 0xE7:
                 time = _uint(b, d, e)
             elif i == 0xA3:
-                block(d, e, time, n, None, None)
+                block(s, at, d, e, time, None, None)
             elif i == 0xA0:
-                inner, span, referenced, p = None, None, False, d
-                while p < e:
-                    j, x, y = element(b, p, e)
-                    if y is None:
-                        raise Damaged(f"unknown size inside a block group at {p}")
+                inner, span, referenced = None, None, False
+                for j, x, y in children(d, e):
                     if j == 0xA1:
                         inner = (x, y)
                     elif j == 0x9B:
                         span = _uint(b, x, y)
                     elif j == 0xFB:
                         referenced = True
-                    p = y
                 if inner:
-                    block(*inner, time, n, not referenced, span)
+                    block(s, at, *inner, time, not referenced, span)
             at = e
         return stop
 
@@ -151,6 +250,15 @@ def parse(b: bytes) -> tuple[list[Packet], str | None]:
             yield i, d, e
             lo = e
 
+    def cue(s: _Segment, lo: int, hi: int) -> None:
+        when, places = 0, []
+        for k, p, q in children(lo, hi):
+            if k == 0xB3:
+                when = _uint(b, p, q)
+            elif k == 0xB7:
+                places.append({m: _uint(b, u, v) for m, u, v in children(p, q) if m in (0xF7, 0xF1, 0xF0, 0x5378)})
+        s.marks += [_Mark(x.get(0xF7, 0), when, x.get(0xF1), x.get(0xF0), x.get(0x5378)) for x in places]
+
     error = None
     try:
         if not b:
@@ -167,83 +275,99 @@ def parse(b: bytes) -> tuple[list[Packet], str | None]:
                 at = e
                 continue
             stop = len(b) if e is None else e
+            s = _Segment(d, count)
+            segments.append(s)
             at = d
             while at < stop:
                 i, d, e = element(b, at, stop)
                 if i == CLUSTER:
-                    clusters += 1
-                    at = cluster(d, e, stop, clusters - 1)
+                    s.clusters.append(_Cluster(at, d))
+                    count += 1
+                    at = cluster(s, d, e, stop)
                     continue
                 if e is None:
                     raise Damaged(f"unknown size at {at}")
                 if i == INFO:
                     for j, x, y in children(d, e):
-                        scale = _uint(b, x, y) if j == 0x2AD7B1 else scale
+                        s.scale = _uint(b, x, y) if j == 0x2AD7B1 else s.scale
                 elif i == TRACKS:
                     for j, x, y in children(d, e):
                         if j == 0xAE:
                             t: dict[int, Any] = {k: b[p:q] for k, p, q in children(x, y)}
-                            tracks[_uint(t.get(0xD7, b""), 0, 8)] = (t.get(0x86, b"").decode("ascii", "replace") or None, _uint(t[0x23E383], 0, 8) if 0x23E383 in t else None)
+                            s.tracks[_uint(t.get(0xD7, b""), 0, 8)] = (t.get(0x86, b"").decode("ascii", "replace") or None, _uint(t[0x23E383], 0, 8) if 0x23E383 in t else None)
                 elif i == CUES:
                     for j, x, y in children(d, e):
                         if j == 0xBB:
-                            when, which = 0, []
-                            for k, p, q in children(x, y):
-                                if k == 0xB3:
-                                    when = _uint(b, p, q)
-                                elif k == 0xB7:
-                                    which += [_uint(b, u, v) for m, u, v in children(p, q) if m == 0xF7]
-                            cues |= {(t, when) for t in which}
+                            cue(s, x, y)
                 at = e
     except Damaged as x:
         error = str(x)
-    out = []
-    for track, ticks, duration, key, n, lace, offset, size in blocks:
-        codec, default = tracks.get(track, (None, None))
-        frame = duration * scale if duration is not None else default
-        out.append(Packet(track, codec, ticks * scale + lace * (default or 0), frame, key, n, lace, offset, size, not lace and (track, ticks) in cues))
-    return out, error
+    packets: list[Packet] = []
+    cues: list[Cue] = []
+    for s in segments:
+        p, c = s.tables(len(packets))
+        packets += p
+        cues += c
+    return packets, cues, error
+
+
+def parse(b: bytes) -> tuple[list[Packet], str | None]:
+    """(packets in file order, what is damaged or None)."""
+    packets, _, error = read(b)
+    return packets, error
+
+
+_PACKET = "doc_id bigint, packet_no int, track int, codec string, timestamp_ns bigint, duration_ns bigint, keyframe boolean, cluster int, cluster_offset bigint, lace int, block_offset bigint, byte_offset bigint, n_bytes bigint, cued boolean, error string"
+_CUE = "doc_id bigint, cue_no int, track int, timestamp_ns bigint, cluster_offset bigint, block_offset bigint, packet_no int, byte_offset bigint, n_bytes bigint"
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+_FLUSH = 50_000  # rows a batch that goes back to Spark
+
+
+def _table(media: DataFrame, key: str, blob: str, schema: str, rows_of: Callable[[Any, bytes], Iterable[tuple]]) -> DataFrame:
+    names, types = zip(*(x.strip().split() for x in schema.split(",")))
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [[]] * len(names)
+            out = pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(cols, types)], list(names))
+            rows.clear()
+            return out
+
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if data.is_valid:
+                    rows += rows_of(k, data.as_py())  # one file at a time
+                    if len(rows) > _FLUSH:
+                        yield flush()
+        yield flush()
 
-SCHEMA = "doc_id bigint, packet_no int, track int, codec string, timestamp_ns bigint, duration_ns bigint, keyframe boolean, cluster int, lace int, byte_offset bigint, n_bytes bigint, cued boolean, error string"
-_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
-_NAMES = [x.strip().split()[0] for x in SCHEMA.split(",")]
+    return media.select(key, blob).mapInArrow(run, schema)
 
 
 def packets(media: DataFrame, key: str = "doc_id", blob: str = "media") -> DataFrame:
-    """One row a packet of each file: its number in the file, track, codec, time, duration, keyframe, cluster, place in the
-    lace, byte range in the column, whether a cue points at it.
+    """One row a packet of each file: its number in the file, track, codec, time, duration, keyframe, cluster (number and place),
+    place in the lace, places of the block and of the packet's own bytes in the column, whether a cue leads to it.
 
     A null file has no rows. A damaged or empty one has the packets before the damage and one row with ``error`` and no
-    packet. A null key stays null; repeated rows give repeated packets; columns besides the two named are not read.
+    packet. A null key stays null; repeated rows give repeated packets; columns besides the two named are not read. Spark
+    hands over files in batches of bounded bytes; long ones are read one at a time.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list[Any]] = [[] for _ in _NAMES]
-            keys = batch.column(0).to_pylist()
+    def rows_of(k: Any, data: bytes) -> Iterator[tuple]:
+        found, error = parse(data)
+        yield from ((k, n, *p, None) for n, p in enumerate(found))
+        if error:
+            yield (k, *[None] * 13, error)
 
-            def flush() -> pa.RecordBatch:
-                out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _TYPES)], _NAMES)
-                for c in rows:
-                    c.clear()
-                return out
+    return _table(media, key, blob, _PACKET, rows_of)
 
-            for k, data in zip(keys, batch.column(1)):
-                if not data.is_valid:
-                    continue
-                found, error = parse(data.as_py())
-                for n, p in enumerate(found):
-                    for c, v in zip(rows, (k, n, *p, None)):
-                        c.append(v)
-                if error:
-                    for c, v in zip(rows, (k, *[None] * 11, error)):
-                        c.append(v)
-                if len(rows[0]) > 50_000:
-                    yield flush()
-            yield flush()
 
-    return media.select(key, blob).mapInArrow(run, SCHEMA)
+def cues(media: DataFrame, key: str = "doc_id", blob: str = "media") -> DataFrame:
+    """One row a cue and track of each file: its number in the file, track, time, the cluster's place, and the packet that it
+    leads to with its byte range; nulls where it leads to none. Odd files as in ``packets``, without rows for errors."""
+    return _table(media, key, blob, _CUE, lambda k, data: ((k, n, *c) for n, c in enumerate(read(data)[1])))
 
 
 # ---- writing ----
@@ -297,7 +421,8 @@ def mux(lines: list[bytes], tick_ms: int = 1000, unknown: bool = False, per_clus
                 data += el(0xA3, block + bytes([0x80 | kind << 1]) + lace(frames, kind))
             at += len(frames)
             turn += 1
-        cues += el(0xBB, _num(0xB3, c * tick_ms) + el(0xB7, _num(0xF7, 1) + _num(0xF1, len(body))))
+        relative = _num(0xF0, len(_num(0xE7, c * tick_ms))) if c // per_cluster % 2 else b""
+        cues += el(0xBB, _num(0xB3, c * tick_ms) + el(0xB7, _num(0xF7, 1) + _num(0xF1, len(body)) + relative))
         body += el(CLUSTER, data, unknown)
     return el(EBML, el(0x4282, b"matroska") + _num(0x4287, 4) + _num(0x4285, 2)) + el(SEGMENT, body + el(CUES, cues), unknown)
 
