@@ -18,7 +18,11 @@ STOP_WORDS: dict[str, frozenset[str]] = {
 }
 BLOCK_TAGS = frozenset("address article aside blockquote body br canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section summary table tbody td textarea tfoot th thead title tr ul".split())
 SKIP_TAGS = ("script", "style", "noscript", "template", "svg")
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|svg(?!(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>))\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.S | re.I)
+_SIMPLE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>\"']*+(?:\"[^\"<>]*+\"[^<>\"']*+)*+>")  # looks no further than the next angle
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_IN_TAG = re.compile(r"[>\"']")
+_SKIP_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in SKIP_TAGS}
+_LONG_NUMBER = re.compile(r"&#(?:[0-9]{8}|[xX][0-9a-fA-F]{7})[0-9a-fA-F]*;?")  # beyond all characters, and slow or an error to read
 _BLANK = re.compile(r"\s+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -44,6 +48,74 @@ _BOILER = frozenset("nav header footer aside title".split())
 _OPTION_ENDS = BLOCK_TAGS | {"select", "optgroup", "datalist"}  # </option> may be left out
 
 
+class _Marks:
+    """Tags, comments and elements without text of a page, in one pass: (first character, end, tag in lower case or "", closing).
+
+    The work is in proportion to the page whatever it holds: what is once looked for in vain isn't looked for again. A tag ends at
+    the first ``>`` outside quotes; where quotes don't close, that tag and all after it end at the first ``>``. A ``<`` that begins
+    nothing is text. Comments, and elements in ``SKIP_TAGS``, that are never closed go to the page's end.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.missing: set[str] = set()
+        self.quotes = True
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place after the ``>`` of a tag whose name ends at ``at``; -1 if there is none."""
+        if self.quotes:
+            x = at
+            while True:
+                m = _IN_TAG.search(self.page, x)
+                if m is None:
+                    break
+                if m[0] == ">":
+                    return m.end()
+                x = self.find(m[0], m.end()) + 1
+                if not x:
+                    break
+            self.quotes = False
+        return self.find(">", at) + 1 or -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool]]:
+        page, at, n = self.page, 0, len(self.page)
+        while (lo := page.find("<", at)) >= 0:
+            at, tag = lo + 1, ""
+            if m := _SIMPLE.match(page, lo):
+                tag, closing, end = m[2].lower(), bool(m[1]), m.end()
+            elif m := _NAME.match(page, at + (closing := page.startswith("/", at))):
+                tag, end = m[0].lower(), self.tag_end(m.end())
+            elif page.startswith("!--", at):
+                end = self.find("-->", at + 3) + 3
+                end = end if end > 2 else n
+            elif page.startswith("![CDATA[", at) and (end := self.find("]]>", at + 8) + 3) > 2:
+                pass
+            elif page[at : at + 1] in ("!", "?"):
+                end = self.find(">", at + 1) + 1
+            else:
+                continue
+            if tag in _SKIP_END and not closing and end > 0 and not (tag == "svg" and page[end - 2] == "/"):
+                close = _SKIP_END[tag].search(page, end)
+                tag, end = "", close.end() if close else n
+            if end > 0:
+                yield lo, end, tag, closing
+                at = end
+
+
+def _unescape(text: str) -> str:
+    if "&#" in text:
+        text = _LONG_NUMBER.sub("\ufffd", text)
+    return _html.unescape(text) if "&" in text else text
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of visible text in order, blanks collapsed; blocks without text are left out."""
     out: list[Block] = []
@@ -57,14 +129,10 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, sum(len(_BLANK.sub(" ", p).strip()) for p, a in parts if a), heading > 0, boiler > 0 or option))
             parts.clear()
 
-    for m in _MARK.finditer(page):
-        if m.start() > at:
-            parts.append((_html.unescape(page[at : m.start()]), links > 0))
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            continue
-        end = bool(m[2])
+    for begin, stop, tag, end in _Marks(page):
+        if begin > at:
+            parts.append((_unescape(page[at:begin]), links > 0))
+        at = stop
         if tag == "a":
             links = max(0, links - 1) if end else links + 1
         elif tag in _OPTION_ENDS:
@@ -75,7 +143,7 @@ def blocks(page: str) -> list[Block]:
             if tag in _BOILER:
                 boiler = max(0, boiler - 1) if end else boiler + 1
     if at < len(page):
-        parts.append((_html.unescape(page[at:]), links > 0))
+        parts.append((_unescape(page[at:]), links > 0))
     close()
     return out
 
@@ -150,7 +218,8 @@ def extract_pages(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row a page: page_id, url, text, n_blocks, n_good.
 
     Null html has null text and no blocks; empty html has empty text. Null identifiers and addresses stay null, repeated
-    rows give repeated rows, columns besides page_id, url and html are not read.
+    rows give repeated rows, columns besides page_id, url and html are not read. Time grows in proportion to a page's length,
+    whatever stands in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
