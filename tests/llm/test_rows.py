@@ -45,15 +45,16 @@ def test_quality(spark, odd):
     got = quality.report(odd)
     assert got.count() == odd.count() and quality.report(odd.limit(0)).count() == 0
     by = {r["doc_id"]: r for r in got.collect() if r["doc_id"] is not None}
-    assert by[1]["rules_failed"] == by[2]["rules_failed"] == by[5]["rules_failed"] == 1 and by[4]["rules_failed"] == 0
+    assert by[1]["rules_failed"] == by[2]["rules_failed"] == by[5]["rules_failed"] == by[4]["rules_failed"] == 1
     kept = quality.keep(odd)
     assert kept.dtypes == odd.dtypes
-    assert {3, 4} <= {r["doc_id"] for r in kept.collect()}
+    assert 3 in {r["doc_id"] for r in kept.collect()}
 
 
 def test_host_rates_are_shrunk(spark):
-    rows = [(i, "ok " * 20 if i % 10 else "$$ " * 20, f"h{i % 7}") for i in range(210)] + [(999, "$$ && ## %% ** one two", "lonely")] + [(1000 + i, "$$ " * 20, "bad") for i in range(50)]
-    hosts = {r["_host"]: r for r in quality.host_verdicts(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    fine = "the cat sat on the mat and looked at what was there"
+    rows = [(i, fine if i % 10 else "$$ " * 20, f"h{i % 7}") for i in range(210)] + [(999, "$$ && ## %% ** one two", "lonely")] + [(1000 + i, "$$ " * 20, "bad") for i in range(50)]
+    hosts = {r["_host"]: r for r in quality.host_verdicts(quality._judged(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "_n").select(F.col("source").alias("_host"), "_n")).collect()}
     rates = {h: r["_bad"] / r["_docs"] for h, r in hosts.items()}
     m, v = np.mean(list(rates.values())), np.var(list(rates.values()))
     s = max(2.0, m * (1 - m) / v - 1)
