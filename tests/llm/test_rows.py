@@ -112,8 +112,6 @@ def near_corpus(seed, n=60):
 def test_jaccard_against_all_pairs(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
     monkeypatch.setattr(jaccard, "ALL_PAIRS", 3)
-    if seed == 2:
-        monkeypatch.setattr(jaccard, "KNOWN", -1)  # the way for very many groups
     docs = near_corpus(seed)
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
     assert {tuple(r) for r in jaccard.near_groups(df).collect()} == naive_groups(docs)
