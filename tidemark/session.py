@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,6 +18,7 @@ def local_session(cpus: int | str = 4, app: str = "tidemark", shuffle_partitions
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -25,22 +26,45 @@ def local_session(cpus: int | str = 4, app: str = "tidemark", shuffle_partitions
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's own setting; a temporary one only where none is set (tests)."""
+    """The folder for checkpoints: the cluster's own setting. On a local master, and there alone, a temporary one if none is set."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from there, so that lost executors cost no replay."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and continue from there, so that lost executors cost no replay. The shuffle files that led
+    to it are dropped at once. The folder's files go when nothing refers to them any more, where the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``local_session`` has."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # planned anew, under this setting
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of plans that have been cut and that nothing refers to any more. Spark removes them when the
-    driver collects garbage, by itself at last every half hour; after a large shuffle it is asked for."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def drop_shuffle(rdd: RDD) -> None:
+    """Drops the files of the last shuffle that led to ``rdd``, which isn't read again."""
+    cleaner = rdd.context._jsc.sc().cleaner()
+    work = [rdd._jrdd.rdd()]
+    while work and cleaner.isDefined():
+        deps = work.pop().dependencies()
+        for i in range(deps.size()):
+            dep = deps.apply(i)
+            if dep.getClass().getSimpleName() == "ShuffleDependency":
+                cleaner.get().doCleanupShuffle(dep.shuffleId(), False)
+                return
+            work.append(dep.rdd())
