@@ -56,6 +56,15 @@ def cut(df: DataFrame) -> DataFrame:
             spark.conf.set(_DROP_SHUFFLES, before)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a DataFrame that ``cut`` gave, which isn't read again."""
+    sc = df.sparkSession.sparkContext
+    file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_shuffle(rdd: RDD) -> None:
     """Drops the files of the last shuffle that led to ``rdd``, which isn't read again."""
     cleaner = rdd.context._jsc.sc().cleaner()
