@@ -21,7 +21,7 @@ from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame, Row
 
 from tidemark.llm import text as X
-from tidemark.session import cut, release
+from tidemark.session import cut, drop, drop_shuffle
 
 STATES, ROUNDS = 6, 3
 SHARD_WORDS = 1 << 22  # a shard is closed at so many words
@@ -238,7 +238,7 @@ def _summed(messages: list[tuple[int, int, bytes, bytes]], width: int) -> tuple[
 
 
 def _answers(messages: RDD, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, shards: DataFrame, n: int) -> DataFrame:
-    """(nth, weights): for each shard, in its own partition, the weights of its words."""
+    """(nth, weights): for each shard, in its own partition, the weights of its words. The messages are gone afterwards."""
 
     def answer(it: Iterator) -> Iterator:
         got = [(b, m) for b, m in it if len(m) == 4]
@@ -258,7 +258,10 @@ def _answers(messages: RDD, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray
             yield nth, b"".join(x for _, x in sorted(by[nth]))
 
     back = messages.mapPartitions(answer).partitionBy(n, int).mapPartitions(join)
-    return cut(shards.sparkSession.createDataFrame(back, "nth int, weights binary", verifySchema=False))
+    out = cut(shards.sparkSession.createDataFrame(back, "nth int, weights binary", verifySchema=False))
+    drop_shuffle(back)
+    drop_shuffle(messages)
+    return out
 
 
 class Fitted(NamedTuple):
@@ -328,9 +331,8 @@ def fit(shards: DataFrame, states: int = STATES, rounds: int = ROUNDS, parts: in
         start, move, total, ll = (sum(x) for x in list(zip(*sc.runJob(messages, lambda it: [m for _, m in it], [parts])))[:4])
         start, move = start + SMOOTH, move + SMOOTH
         weights = _answers(messages, lambda _, total: total + SMOOTH, states, shards, n)
+        drop(f.weights)
         f = Fitted(start / start.sum(), move / move.sum(1, keepdims=True), total + SMOOTH * distinct, weights, [*f.history, float(ll)])
-        del messages, weights, gather
-        release(spark)
     return f
 
 
