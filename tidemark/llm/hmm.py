@@ -52,8 +52,10 @@ def first_weights(words: np.ndarray, count: np.ndarray, states: int = STATES) ->
 
 
 class _Segments(NamedTuple):
-    word: np.ndarray  # (most words of a segment) x segments, -1 behind the end; segments by falling length
+    word: np.ndarray  # all first words of the segments, then all second ones ...; segments by falling length
+    off: np.ndarray  # where the words of each place begin
     active: np.ndarray  # segments that have a word at each place
+    length: np.ndarray
     doc: np.ndarray
     nth: np.ndarray  # place among the document's segments
     last: np.ndarray  # whether the document's last
@@ -66,12 +68,15 @@ def _segments(symbols: np.ndarray, ptr: np.ndarray) -> _Segments:
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     length = np.minimum(SEGMENT, n[doc] - nth * SEGMENT)
     order = np.argsort(-length, kind="stable")
-    doc, nth, length = doc[order], nth[order], length[order]
-    most = int(length[0]) if len(length) else 0
-    at = (ptr[doc] + nth * SEGMENT)[:, None] + np.arange(most)
-    inside = np.arange(most) < length[:, None]
-    word = np.where(inside, symbols[np.minimum(at, max(len(symbols) - 1, 0))] if len(symbols) else -1, -1).T.copy()
-    return _Segments(word, inside.sum(0), doc, nth, nth == pieces[doc] - 1)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    place = np.arange(len(symbols)) - np.repeat(np.cumsum(length) - length, length)
+    active = np.bincount(place)
+    off = np.r_[0, np.cumsum(active)]
+    word = np.empty_like(symbols)
+    word[off[place] + np.repeat(rank, length)] = symbols
+    doc, nth = doc[order], nth[order]
+    return _Segments(word, off, active, length[order], doc, nth, nth == pieces[doc] - 1)
 
 
 def _entries(m: Model, s: _Segments, need_exit: bool) -> tuple[np.ndarray, np.ndarray | None]:
@@ -85,20 +90,19 @@ def _entries(m: Model, s: _Segments, need_exit: bool) -> tuple[np.ndarray, np.nd
         return entry, leave
     # product[i, j]: entering in state i, through the segment's words and on into state j, scaled
     product = np.repeat(np.eye(k)[None], len(many), 0)
-    words = s.word[:, many]
-    for t in range(len(words)):
-        a = int((words[t] >= 0).sum())
+    for t, off in enumerate(s.off[:-1].tolist()):
+        a = int(np.searchsorted(-s.length[many], -t))  # those longer than t
         if not a:
             break
-        x = (product[:a] * m.emit[words[t, :a]][:, None, :]).reshape(-1, k) @ m.move
+        x = (product[:a] * m.emit[s.word[off + many[:a]]][:, None, :]).reshape(-1, k) @ m.move
         x = x.reshape(a, k, k)
         product[:a] = x / x.sum((1, 2), keepdims=True)
     where = np.full(len(s.doc), -1)
     where[many] = np.arange(len(many))
     by = many[np.lexsort((s.nth[many], s.doc[many]))]
     for r in range(1, int(s.nth[many].max()) + 1):  # all documents' r-th segments at once
-        here = by[s.nth[by] == r]
-        before = by[np.flatnonzero(s.nth[by] == r) - 1]
+        at = np.flatnonzero(s.nth[by] == r)
+        here, before = by[at], by[at - 1]
         x = np.einsum("si,sij->sj", entry[before], product[where[before]])
         entry[here] = x / x.sum(1, keepdims=True)
     if leave is not None:
@@ -121,8 +125,8 @@ def forward(m: Model, symbols: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     s = _segments(symbols, ptr)
     entry, _ = _entries(m, s, False)
     total = np.zeros(len(s.doc))
-    for t, a in enumerate(s.active):
-        x = entry[:a] * m.emit[s.word[t, :a]]
+    for off, a in zip(s.off.tolist(), s.active.tolist()):
+        x = entry[:a] * m.emit[s.word[off : off + a]]
         scale = x.sum(1)
         total[:a] += np.log(scale)
         entry[:a] = (x / scale[:, None]) @ m.move
@@ -135,48 +139,53 @@ def expected(m: Model, symbols: np.ndarray, ptr: np.ndarray) -> Counts:
     k, v = len(m.start), len(m.emit)
     s = _segments(symbols, ptr)
     entry, leave = _entries(m, s, True)
-    start, move, emit, ll = np.zeros(k), np.zeros((k, k)), np.zeros((v, k)), 0.0
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((v, k))
     if not len(s.doc):
         return Counts(start, move, emit, 0.0)
-    steps = len(s.active)
-    alpha, seen = np.empty((steps, len(s.doc), k)), np.empty((steps, len(s.doc), k))
+    at = [slice(x, y) for x, y in zip(s.off[:-1].tolist(), s.off[1:].tolist())]
+    seen = m.emit[s.word]
+    alpha, scales = np.empty_like(seen), np.empty((len(seen), 1))
     x = entry
-    for t, a in enumerate(s.active):
-        seen[t, :a] = m.emit[s.word[t, :a]]
-        y = x[:a] * seen[t, :a]
+    for t, a in zip(at, s.active.tolist()):
+        y = x[:a] * seen[t]
         scale = y.sum(1, keepdims=True)
-        ll += float(np.log(scale).sum())
-        alpha[t, :a] = y / scale
-        x = alpha[t, :a] @ m.move
-    weight = np.zeros((steps, len(s.doc), k))
-    beta = leave.copy()
-    for t in range(steps - 1, -1, -1):
-        a = int(s.active[t])
-        if t + 1 < steps and (b := int(s.active[t + 1])):
-            ahead = seen[t + 1, :b] * beta[:b]
+        scales[t] = scale
+        y /= scale
+        alpha[t] = y
+        x = y @ m.move
+    beta, first_seen = leave.copy(), seen[at[0]].copy()
+    weight = seen  # each place is read before it is written over
+    ahead = None
+    ends = s.off[s.length - 1] + np.arange(len(s.doc))  # where each segment's last word is
+    for i in range(len(at) - 1, -1, -1):
+        t, a = at[i], int(s.active[i])
+        if ahead is not None:
+            b = len(ahead)
+            before = alpha[t][:b]
             back = ahead @ m.move.T
-            norm = (alpha[t, :b] * back).sum(1, keepdims=True)
-            move += alpha[t, :b].T @ (ahead / norm)
+            norm = (before * back).sum(1, keepdims=True)
+            move += before.T @ (ahead / norm)
             beta[:b] = back / norm
-        g = alpha[t, :a] * beta[:a]
-        weight[t, :a] = g / g.sum(1, keepdims=True)
+        own = beta[:a]
+        ahead = seen[t] * own
+        g = alpha[t] * own
+        weight[t] = g / g.sum(1, keepdims=True)
     # Transitions between segments: from the state at a segment's end into the next.
     inner = np.flatnonzero(~s.last)
     if len(inner):
-        place = {(d, n): i for i, (d, n) in enumerate(zip(s.doc.tolist(), s.nth.tolist()))}
-        after = np.array([place[d, n + 1] for d, n in zip(s.doc[inner].tolist(), s.nth[inner].tolist())])
-        ends = (s.word[:, inner] >= 0).sum(0) - 1
-        ahead = seen[0, after] * beta[after]
-        a = alpha[ends, inner]
+        by = np.lexsort((s.nth, s.doc))
+        follows = np.empty(len(by), np.int64)
+        follows[by[:-1]] = by[1:]
+        after = follows[inner]
+        ahead = first_seen[after] * beta[after]
+        a = alpha[ends[inner]]
         norm = np.einsum("si,ij,sj->s", a, m.move, ahead)
         move += a.T @ (ahead / norm[:, None])
     move *= m.move
-    start += weight[0][s.nth == 0].sum(0)
-    some = s.word >= 0
-    flat, w = s.word[some], weight[some]
+    start += weight[at[0]][s.nth == 0].sum(0)
     for i in range(k):
-        emit[:, i] = np.bincount(flat, w[:, i], minlength=v)
-    return Counts(start, move, emit, ll)
+        emit[:, i] = np.bincount(s.word, weight[:, i], minlength=v)
+    return Counts(start, move, emit, float(np.log(scales).sum()))
 
 
 # ---- over tables ----
