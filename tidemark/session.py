@@ -37,23 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000  # of long texts or sets, 10,000 at a time would be a large part of a worker's memory
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from there, so that lost executors cost no replay. The shuffle files that led
-    to it are dropped at once. The folder's files go when nothing refers to them any more, where the session has
-    ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``local_session`` has."""
+    to it are dropped at once, and Python functions get ``BATCH_ROWS`` rows a batch at most. The folder's files go when nothing
+    refers to them any more, where the session has ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``local_session`` has."""
     spark = df.sparkSession
     shared_dir(spark)
-    before = spark.conf.get(_DROP_SHUFFLES, None)
-    spark.conf.set(_DROP_SHUFFLES, "true")
+    rows = int(spark.conf.get(_BATCH_ROWS))
+    wanted = {_DROP_SHUFFLES: "true", _BATCH_ROWS: str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        return df.select("*").checkpoint(eager=True)  # planned anew, under this setting
+        return df.select("*").checkpoint(eager=True)  # planned anew, under these settings
     finally:
-        if before is None:
-            spark.conf.unset(_DROP_SHUFFLES)
-        else:
-            spark.conf.set(_DROP_SHUFFLES, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def drop(df: DataFrame) -> None:
