@@ -216,7 +216,7 @@ def symbol_table(docs: DataFrame, most: int = SHARD_WORDS) -> DataFrame:
         if rows:
             yield packed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SHARDS)
+    return docs.select("doc_id", "text").mapInArrow(X.tidy(run), _SHARDS)
 
 
 def _batches(row: Row) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -133,7 +133,7 @@ def _judged(docs: DataFrame, column: str) -> DataFrame:
             n = [failed_rules(c).sum(1) for _, c in X.chunks(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int32())], [*names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.IntegerType())]))
+    return docs.mapInArrow(X.tidy(run), T.StructType([*docs.schema.fields, T.StructField(column, T.IntegerType())]))
 
 
 def host_verdicts(flags: DataFrame, most: float = 0.2) -> DataFrame:

@@ -6,7 +6,8 @@ A word is a maximal run of ASCII letters, digits and ``_`` or of characters beyo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +18,11 @@ import pyarrow.compute as pc
 WORD_PATTERN = r"[0-9a-z_\x{80}-\x{10FFFF}]+"
 CHUNK_BYTES = 1 << 20
 
+try:
+    _malloc_trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _malloc_trim = None
+
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz_":
@@ -119,3 +125,21 @@ def ngrams(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
         g = mix64(g * np.uint64(0xD6E8FEB86659FD93) + x)
     keep = (left >= n) | ((count[doc] < n) & (np.arange(m) == t.ptr[doc]))
     return g[keep], doc[keep]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the task gives freed memory back to the system: workers live on and wait for other tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return whole
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
