@@ -284,6 +284,33 @@ def test_files_and_compaction(engine, spark, tmp_path):
     assert list(files.lines(engine.query("FACTS subject OF item:1", 1).table, "yaml")) == ['- subject: "item:1"']
 
 
+def test_compaction_that_stops_leaves_the_store_whole(engine, monkeypatch):
+    """Stopped before the new manifest is there, or before any of the old files is deleted: readers see every fact once."""
+    store = engine.store
+    for n in range(3):
+        engine.append([fact(f"c:{n}", n=n)], 1000 + n)
+    before = sorted(ids(store.facts()))
+
+    class Stops:
+        def __init__(self, fs, at):
+            self.fs, self.at = fs, at
+
+        def __getattr__(self, name):
+            def stop(*args):
+                raise RuntimeError(name)
+
+            return stop if name == self.at else getattr(self.fs, name)
+
+    for at in ("rename", "delete"):
+        with monkeypatch.context() as m:
+            m.setattr(store, "_fs", Stops(store._fs, at))
+            with pytest.raises(RuntimeError, match=at):
+                store.compact(1)
+        assert sorted(ids(store.facts())) == before and store.tip() == 3
+    store.compact(1)
+    assert sorted(ids(store.facts())) == before and len(store._listed()) == 1
+
+
 def test_integrity(engine, spark):
     engine.append([fact(f"i:{n}", n=n) for n in range(7)], 1000)
     roots = integrity.segment_roots(engine.base.facts, 3)

@@ -38,7 +38,12 @@ class FactStore:
 
     # ---- reading ----
     def manifests(self) -> list[dict[str, Any]]:
-        """Commits in order."""
+        """Commits in order, without those that a later one took the place of."""
+        ms = self._listed()
+        gone = {c for m in ms for c in m.get("replaces", ())}
+        return [m for m in ms if m["commit"] not in gone]
+
+    def _listed(self) -> list[dict[str, Any]]:
         names = sorted(s.getPath().toString() for s in self._fs.listStatus(self._p("manifests")) if s.getPath().getName().endswith(".json"))
         if not names:
             return []
@@ -75,12 +80,17 @@ class FactStore:
         n, folder = (ms[-1]["commit"] + 1 if ms else 1), uuid.uuid4().hex
         for name, df in parts.items():
             df.write.parquet(f"{self.path}/data/{folder}/{name}")
-        m = {"commit": n, "folder": folder, "parts": sorted(parts), "tip": tip} | more
-        staged, final = self._p("manifests", f".{folder}"), self._p("manifests", f"{n:012d}.json")
+        return self._publish({"commit": n, "folder": folder, "parts": sorted(parts), "tip": tip} | more)
+
+    def _publish(self, m: dict[str, Any]) -> dict[str, Any]:
+        """A manifest is there as a whole or not at all; the first writer of a number wins."""
+        staged, final = self._p("manifests", f".{m['folder']}"), self._p("manifests", f"{m['commit']:012d}.json")
         out = self._fs.create(staged, False)
         out.write(json.dumps(m).encode())
         out.close()
         if self._fs.exists(final) or not self._fs.rename(staged, final):
+            self._fs.delete(staged, False)
+            self._fs.delete(self._p("data", m["folder"]), True)
             raise Rejected("another writer was faster")
         return m
 
@@ -190,7 +200,8 @@ class FactStore:
 
     def compact(self, partitions: int | None = None) -> dict[str, Any]:
         """All commits as one, facts of a stream together and in order, so that scans of a subject or namespace skip row groups.
-        The old manifests go last: until then readers see the old commits. Run it without readers."""
+        One manifest takes the place of all old ones at once; whatever is left of those, here or after a crash, is hidden and
+        goes then or with the next compaction. Run it without readers."""
         old, tip, all_schemas = self.manifests(), self.tip(), self.schemas()
         parts = {}
         for name, schema, keys in (("facts", FACTS, ["subject", "facet", "log_seq"]), ("links", model.LINKS, ["from_id", "log_seq"]), ("enrichments", model.ENRICHMENTS, ["target_event", "log_seq"])):
@@ -200,16 +211,16 @@ class FactStore:
         folder = uuid.uuid4().hex
         for name, df in parts.items():
             df.write.parquet(f"{self.path}/data/{folder}/{name}")
-        for m in old:
+        listed = self._listed()
+        kept = {m["commit"] for m in old}
+        dead = [m for m in listed if m["commit"] in kept or any(m["commit"] in x.get("replaces", ()) for x in listed)]
+        n = max((m["commit"] for m in old), default=0)
+        new = self._publish({"commit": n + 1, "folder": folder, "parts": sorted(parts), "tip": tip, "schemas": all_schemas, "replaces": sorted(m["commit"] for m in dead)})
+        for m in dead:
             self._fs.delete(self._p("manifests", f"{m['commit']:012d}.json"), False)
-        n = old[-1]["commit"] if old else 0
-        m = {"commit": n + 1, "folder": folder, "parts": sorted(parts), "tip": tip, "schemas": all_schemas}
-        out = self._fs.create(self._p("manifests", f"{n + 1:012d}.json"), False)
-        out.write(json.dumps(m).encode())
-        out.close()
-        for x in old:
-            self._fs.delete(self._p("data", x["folder"]), True)
-        return m
+        for m in dead:
+            self._fs.delete(self._p("data", m["folder"]), True)
+        return new
 
 
 def supersede_links(facts: DataFrame) -> DataFrame:
