@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm import text as X
+
 LEAF_CHARS = 4096
 WINDOW_CHARS = 32
 VOCABULARY = os.path.join(os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
@@ -147,7 +149,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(missing, pa.bool_()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), lists, pa.array(trips, pa.bool_())], ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(X.tidy(run), SCHEMA)
 
 
 def decode_tokens(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -158,4 +160,4 @@ def decode_tokens(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
             texts = [decode(x.as_py(), path) if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "token_ids").mapInArrow(run, "doc_id bigint, text string")
+    return rows.select("doc_id", "token_ids").mapInArrow(X.tidy(run), "doc_id bigint, text string")

@@ -116,7 +116,7 @@ def failed_rules(arr: pa.Array) -> np.ndarray:
         "repeated_lines": (lines >= 4) & (same / np.maximum(lines, 1) > 0.3),
         "bullets": (lines >= 3) & (bullets > 0.9),
         "ellipses": (lines >= 3) & (ellipses > 0.3),
-        "few_function_words": (tokens >= 20) & (function < 0.05),
+        "few_function_words": (tokens >= 20) & (function > 0) & (function < 0.05),  # none at all: another language
         "repeated_words": (tokens >= 10) & (np.bincount(owner[again], minlength=n) / some > 0.2),
         "repeated_grams": (tokens >= 10) & ((tokens - GRAM + 1 - different) / possible > 0.3),
     }
@@ -213,7 +213,7 @@ _SQL_RULES = rf"""
          + (len(l) >= 4 AND (len(l) - len(list_distinct(l))) / len(l)::DOUBLE > 0.3)::INT
          + (len(l) >= 3 AND len(list_filter(l, lambda x: x[1] IN ('-', '*', '•'))) / len(l)::DOUBLE > 0.9)::INT
          + (len(l) >= 3 AND len(list_filter(l, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) / len(l)::DOUBLE > 0.3)::INT
-         + coalesce(k >= 20 AND f < 0.05, false)::INT + coalesce(k >= 10 AND again > 0.2, false)::INT + coalesce(k >= 10 AND twice > 0.3, false)::INT AS n
+         + coalesce(k >= 20 AND f > 0 AND f < 0.05, false)::INT + coalesce(k >= 10 AND again > 0.2, false)::INT + coalesce(k >= 10 AND twice > 0.3, false)::INT AS n
     FROM shown LEFT JOIN said USING (rid))
 """
 ORACLE = f"""
