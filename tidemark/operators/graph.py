@@ -110,7 +110,7 @@ def match(base: Facts, pattern: str, to: str, direction: str = "causes", via: st
         found.join(start.select(F.col("event_id").alias("seed"), F.col("subject").alias("from_subject")), "seed")
         .join(ends.select(F.col("event_id").alias("node"), F.col("subject").alias("to_subject")), "node")
         .select(F.col("seed").alias("from_event"), "from_subject", F.col("node").alias("to_event"), "to_subject", "hops", "via")
-        .orderBy("from_event", "to_event", "hops")
+        .orderBy("from_subject", "to_subject", "hops", "from_event", "to_event")
     )
     return out.limit(limit) if limit else out
 
