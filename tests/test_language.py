@@ -129,3 +129,19 @@ def test_homology():
     assert homology(octahedron, 1.5, 2)[0] == [1, 0, 1]
     wave = np.sin(np.arange(80) * 2 * np.pi / 20)
     assert homology(time_delay(wave, 6), 1.0)[0] == [1, 1]
+
+
+def test_approximate_counts_beside_exact_ones_keep_no_buffer_for_each_value(spark):
+    from tidemark.operators import read
+    from tidemark.plans.ast import Having, Query
+
+    facts = spark.range(3000).selectExpr("concat('x:', id) AS subject", "'f' AS facet", "'OBSERVED' AS type", "id AS log_seq", "struct(cast(id % 700 AS double) AS price, cast(id % 3 AS string) AS k) AS value")
+    asked = read.items("approx_count_distinct(price)", "count_distinct(price)", "approx_count_distinct(*)", "approx_count_distinct(colour)")
+    got = read.read(facts, Query("facts", "x:*", items=asked, having=[Having("approx_count_distinct", "price", ">", 1.0)]))
+    alone = read.read(facts, Query("facts", "x:*", items=[i for i in asked if i.agg != "count_distinct"]))
+    row, other = got.first().asDict(), alone.first().asDict()
+    assert row.pop("count_distinct(price)") == 700 and row == other and other["approx_count_distinct(colour)"] == 0
+    grouped = Query("facts", "x:*", items=[read.items("k")[0], *asked[:2]], group_by="k")
+    assert [r["count_distinct(price)"] for r in read.read(facts, grouped).collect()] == [700, 700, 700]
+    plan = read.read(facts, Query("facts", "x:*", items=asked[:2]))._jdf.queryExecution().executedPlan().toString()
+    assert "approx_count_distinct(distinct" in plan and "Expand" not in plan
