@@ -164,6 +164,16 @@ def test_cycles_shrunk_on_the_cluster(spark, monkeypatch):
     assert found[0] == found[-1] and set(found) == {f"n{i:03}" for i in range(10, 31)} and len(found) == 22
 
 
+def test_search_splits_texts_once(spark):
+    from tidemark.operators import search
+
+    facts = spark.createDataFrame([(i, f"d:{i}", "t", (f"late markdown {i}",)) for i in range(5)], "log_seq bigint, subject string, facet string, value struct<text string>")
+    facts = facts.selectExpr("*", "subject AS event_id", "'OBSERVED' AS type", "log_seq AS effective_time", "log_seq AS recorded_time", "'SYSTEM_FEED' AS provenance", "1.0D AS confidence")
+    out = search.search(Facts.of(facts), facts, "markdown")
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["event_id"] for r in out.collect()] == ["d:4", "d:3", "d:2", "d:1", "d:0"]
+
+
 def test_enrich_similar_search_ask(engine):
     engine.append([fact("d:1", note="late markdown register", event_id="n1", eff=1000), fact("d:2", note="nothing here", event_id="n2", eff=1000), fact("d:3", note="markdown", event_id="n3", eff=1000)], 1000)
     assert ids(engine.query("SEARCH 'late markdown register'", 1).table)[0] == "n1"
