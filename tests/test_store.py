@@ -164,6 +164,32 @@ def test_cycles_shrunk_on_the_cluster(spark, monkeypatch):
     assert found[0] == found[-1] and set(found) == {f"n{i:03}" for i in range(10, 31)} and len(found) == 22
 
 
+def test_links_shrink_in_few_rounds_of_one_shuffle_and_keep_cycles(spark, monkeypatch):
+    import random
+
+    from tidemark.operators import graph
+
+    def table(pairs):
+        return spark.createDataFrame(pairs, "from_id string, to_id string")
+
+    chain = [(f"n{i:04}", f"n{i + 1:04}") for i in range(2000)]
+    made, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: made.append(df) or real(df))
+    assert graph.shrunk(table(chain), 200).count() <= 200 and len(made) <= 9  # the links themselves and a table a round
+    plan = made[1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    # two ways between the same nodes, a node with many links, a tail and layers that only lead out: one cycle is left of them
+    fan = [("hub", f"f{i}") for i in range(50)] + [(f"f{i}", "end") for i in range(50)]
+    ring = [("a", "b1"), ("b1", "c"), ("a", "b2"), ("b2", "c"), ("c", "d"), ("d", "a"), ("c", "hub"), ("tail", "a")]
+    monkeypatch.setattr(graph, "ON_DRIVER", 1)
+    base = lambda p: Facts.of(spark.createDataFrame([], "event_id string, subject string"), table(p).selectExpr("0L AS log_seq", "*", "'T' AS type"))
+    links = fan + ring
+    random.Random(1).shuffle(links)
+    found = graph.cycles(base(links))["cycle"]
+    assert found[0] == found[-1] and set(zip(found, found[1:])) <= set(ring) and len(found) == 5
+    assert graph.cycles(base([x for x in links if x != ("d", "a")]))["cyclic"] is False
+
+
 def test_search_splits_texts_once(spark):
     from tidemark.operators import search
 
